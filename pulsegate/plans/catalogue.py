@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pulsegate.plans import queries_prepare  # noqa: F401
+from pulsegate.plans import queries_prepare, queries_replay  # noqa: F401
 from pulsegate.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
