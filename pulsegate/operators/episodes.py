@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 
 from pulsegate import columns as C
 from pulsegate.config import RESTRICT
-from pulsegate.functions.quantiles import exact_quantiles
 from pulsegate.functions.scalars import json_key, quoted, ratio
 from pulsegate.operators.controllers import LEASE_KEYS, evaluation_order, lease_window
 from pulsegate.operators.epochs import attack_streams
@@ -92,29 +91,32 @@ def report_episodes(
     ).withColumnRenamed(ISLAND, "episode")
 
 
+def exact_median(value: str) -> Column:
+    """Median of a delay or duration of epoch-level episodes.
+
+    Such values are whole epochs inside one block, so a group has at most
+    ``max_block_seconds / epoch_seconds + 1`` distinct ones; ``percentile`` keeps a count
+    per distinct value and merges these map-side, which stays that small for any group.
+    """
+    return F.percentile(value, F.lit(0.5))
+
+
 def summarize_report_episodes(episodes: DataFrame, by: Sequence[str] = (*BY_CANDIDATE, "attack_type")) -> DataFrame:
-    """Coverage, censoring and exact median delays per attack type."""
-    by = list(by)
-    sums = episodes.groupBy(*by).agg(
+    """Coverage, censoring and median delays per attack type."""
+    out = episodes.groupBy(*by).agg(
         F.count(F.lit(1)).alias("episodes"),
         total_where(F.col("covered")).alias("covered_episodes"),
         total_where(F.col("censored")).alias("censored_episodes"),
         F.sum("duration_s").alias("attack_time_s"),
         F.sum("contained_time_s").alias("contained_time_s"),
+        exact_median("capped_delay_s").alias("median_capped_delay_s"),
+        exact_median("delay_s").alias("median_detected_delay_s"),
     )
-    capped = exact_quantiles(episodes, by, "capped_delay_s", [0.5]).select(
-        *by, F.col("q")[0].alias("median_capped_delay_s")
-    )
-    seen = exact_quantiles(episodes, by, "delay_s", [0.5]).select(*by, F.col("q")[0].alias("median_detected_delay_s"))
-    return (
-        sums.join(capped, by, "left")
-        .join(seen, by, "left")
-        .withColumns(
-            {
-                "episode_coverage": ratio("covered_episodes", "episodes"),
-                "time_coverage": ratio("contained_time_s", "attack_time_s"),
-            }
-        )
+    return out.withColumns(
+        {
+            "episode_coverage": ratio("covered_episodes", "episodes"),
+            "time_coverage": ratio("contained_time_s", "attack_time_s"),
+        }
     )
 
 
@@ -124,7 +126,7 @@ def summarize_report_episodes(episodes: DataFrame, by: Sequence[str] = (*BY_CAND
 def mark_streams(
     df: DataFrame,
     ontology: Ontology = TRACE_ONTOLOGY,
-    merge_gap_s: float = 0.0,
+    merge_gap_s: float | Column = 0.0,
     order: Sequence[str] | None = None,
     keys: Sequence[str] = LEASE_KEYS,
 ) -> DataFrame:
@@ -135,15 +137,17 @@ def mark_streams(
     the episode up to the epoch, from which exposure before containment follows as a
     minimum.
     """
-    if merge_gap_s < 0:
-        raise ValueError("merge_gap_s must be non-negative")
+    if not isinstance(merge_gap_s, Column):
+        if merge_gap_s < 0:
+            raise ValueError("merge_gap_s must be non-negative")
+        merge_gap_s = F.lit(float(merge_gap_s))
     order = list(order or evaluation_order(df))
     w = lease_window(order, keys)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     streams = attack_streams(ontology)
     end, length = F.col(order[0]), F.col(C.DURATION)
-    silent = end - length - F.lag(order[0]).over(w) > F.lit(merge_gap_s + 1e-12)
+    silent = end - length - F.lag(order[0]).over(w) > merge_gap_s + F.lit(1e-12)
     out = df.withColumn("__silent", F.coalesce(silent, F.lit(True)))
     opens, numbers, bases, entries = {}, {}, {}, []
     for i, (name, mask) in enumerate(streams):
@@ -270,9 +274,9 @@ def episode_strata(episodes: DataFrame) -> DataFrame:
     )
 
 
-def episode_summary(episodes: DataFrame, strata: bool = True) -> DataFrame:
-    """Means, exact medians and ratios by attack stream (and onset stratum)."""
-    by = [*BY_CANDIDATE, "attack_type", "onset_stratum"]
+def episode_summary(episodes: DataFrame, strata: bool = True, extra: Sequence[str] = ()) -> DataFrame:
+    """Means, medians and ratios by attack stream (and onset stratum)."""
+    by = [*BY_CANDIDATE, *extra, "attack_type", "onset_stratum"]
     rows = _strata_sets(episodes) if strata else episodes.withColumn("onset_stratum", F.lit(C.ALL_STRATA))
     share = lambda c: F.avg(F.col(c).cast("int"))
     out = rows.groupBy(*by).agg(
@@ -285,11 +289,10 @@ def episode_summary(episodes: DataFrame, strata: bool = True) -> DataFrame:
         F.sum("contained_time_s").alias("contained_time_s"),
         F.sum("exposed_time_s").alias("exposed_time_s"),
         F.avg("capped_delay_s").alias("mean_capped_delay_s"),
+        exact_median("capped_delay_s").alias("median_capped_delay_s"),
+        exact_median("delay_s").alias("median_detected_delay_s"),
         F.avg("exposure_before_containment_s").alias("mean_exposure_before_containment_s"),
     )
-    for value, name in (("capped_delay_s", "median_capped_delay_s"), ("delay_s", "median_detected_delay_s")):
-        median = exact_quantiles(rows, by, value, [0.5]).select(*by, F.col("q")[0].alias(name))
-        out = out.join(median, by, "left")
     return out.withColumns(
         {
             "attack_time_containment": ratio("contained_time_s", "attack_time_s"),

@@ -120,14 +120,33 @@ def lease_epochs(
     )
     rows = df.withColumns({C.SUBJECT: known, C.LEASE: F.lit("")})
     epochs = causal_epochs(rows, rule.epoch_seconds, features, contexts, ontology, passthrough, label).drop(C.LEASE)
-    inside = Window.partitionBy(C.BLOCK, C.SUBJECT).orderBy(C.EPOCH_START)
+    return open_leases(epochs, rule.lease_gap_seconds)
+
+
+def open_leases(epochs: DataFrame, lease_gap_seconds: float | Column, more: Sequence[str] = ()) -> DataFrame:
+    """Number the leases of each block and entity from its epochs' first and last events."""
+    limit = lease_gap_seconds if isinstance(lease_gap_seconds, Column) else F.lit(float(lease_gap_seconds))
+    inside = Window.partitionBy(C.BLOCK, C.SUBJECT, *more).orderBy(C.EPOCH_START)
     silence = F.col("first_event_time_s") - F.lag("last_event_time_s").over(inside)
-    opens = F.coalesce(silence > F.lit(float(rule.lease_gap_seconds)), F.lit(False)).cast("long")
+    opens = F.coalesce(silence > limit, F.lit(False)).cast("long")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     counted = epochs.withColumn("__open", opens).withColumn(C.LEASE_SEQUENCE, F.sum("__open").over(upto)).drop("__open")
     return counted.withColumn(C.LEASE, colon_key(C.BLOCK, C.SUBJECT, C.LEASE_SEQUENCE))
 
 
+def sweep_leases(epochs: DataFrame, timeouts: Sequence[float], column: str = "lease_timeout_s") -> DataFrame:
+    """Re-cut the leases of the same epochs under several timeouts, in one plan.
+
+    Epochs do not depend on the lease timeout, so they are aggregated once and repeated
+    per timeout; lease ids carry the timeout to stay distinct.
+    """
+    if any(t <= 0 for t in timeouts):
+        raise ValueError("lease timeouts must be positive")
+    listed = F.array(*[F.lit(float(t)) for t in timeouts])
+    cut = open_leases(epochs.withColumn(column, F.explode(listed)), F.col(column), [column])
+    return cut.withColumn(C.LEASE, F.concat(C.LEASE, F.lit("@"), F.col(column).cast("long").cast("string")))
+
+
 def attack_columns(df: DataFrame, ontology: Ontology = TRACE_ONTOLOGY) -> DataFrame:
     """``attack_<slug>`` flags, number of attack types and the mixed flag."""
     flags = {f"attack_{ontology.slug(a)}": F.array_contains(C.LABELS, a) for a in ontology.attacks}

@@ -15,7 +15,6 @@ from pyspark.sql.window import Window
 from pulsegate import columns as C
 from pulsegate.config import ISOLATE, RESTRICT
 from pulsegate.functions.ordered import generations, neighbours
-from pulsegate.functions.quantiles import exact_quantiles
 from pulsegate.functions.scalars import ratio
 from pulsegate.operators.controllers import LEASE_KEYS, evaluation_order, lease_window
 
@@ -114,8 +113,9 @@ def dwell_weights(
     """Seconds to the next observation of the lease, scaled to mean one.
 
     The last observation takes the lease's median positive step, else the global median,
-    else one second.  A lease is bounded by its block, so its median is a window; the
-    global median is an exact distributed quantile.
+    else one second.  A lease is bounded by its block, so its median is a window.  Steps
+    are whole epochs within a block: the global median counts at most
+    ``max_block_seconds / epoch_seconds`` distinct values, combined map-side.
     """
     if max_gap is not None and (max_gap <= 0 or min_interval > max_gap):
         raise ValueError("max_gap must be positive and at least min_interval")
@@ -124,7 +124,7 @@ def dwell_weights(
     steps = df.withColumn("__step", step)
     positive = F.when(F.col("__step") > 0, F.col("__step"))
     one = steps.withColumn("__pos", positive)
-    overall = exact_quantiles(one, [], "__pos", [0.5]).select(F.col("q")[0]).scalar()
+    overall = one.agg(F.percentile("__pos", F.lit(0.5))).scalar()
     typical = F.percentile("__pos", F.lit(0.5)).over(w)
     raw = F.coalesce(F.col("__step"), typical, overall, F.lit(1.0))
     if max_gap is not None:

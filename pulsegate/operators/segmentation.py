@@ -112,6 +112,24 @@ def segment_leases(
     return joined.withColumn(C.LEASE, colon_key(block, subject, C.LEASE_SEQUENCE))
 
 
+def session_table(df: DataFrame, gap_seconds: float, subject: str = C.SUBJECT, time: str = C.TIME) -> DataFrame:
+    """Sessions per entity: silence longer than the gap starts a new one.
+
+    Cells are counted map-side and numbered per entity; an entity has at most two cells
+    per gap and timeline, whatever its number of reports.
+    """
+    cells = df.groupBy(subject, bin_index(time, gap_seconds / 2).alias(_CELL)).agg(
+        F.min(time).alias("t0"), F.max(time).alias("t1"), F.count(F.lit(1)).alias("n")
+    )
+    inside = Window.partitionBy(subject).orderBy(_CELL)
+    opens = F.coalesce(F.col("t0") - F.lag("t1").over(inside) > F.lit(float(gap_seconds)), F.lit(False))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cells.withColumn("__o", opens.cast("long")).withColumn("session", F.sum("__o").over(upto))
+    return numbered.groupBy(subject, "session").agg(
+        F.min("t0").alias("start_s"), F.max("t1").alias("end_s"), F.sum("n").alias("n_reports")
+    )
+
+
 def add_targets(df: DataFrame, ontology: Ontology = TRACE_ONTOLOGY, label: str = "label") -> DataFrame:
     """Map labels to ids; a NULL or unknown label fails the job."""
     ids = F.create_map(*[x for i, name in enumerate(ontology.labels) for x in (F.lit(name), F.lit(i))])

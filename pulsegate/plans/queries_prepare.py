@@ -10,7 +10,7 @@ from pulsegate.functions.scalars import colon_key, slug, state_name
 from pulsegate.operators import audit, splits
 from pulsegate.operators.epochs import attack_columns, causal_epochs, lease_epochs
 from pulsegate.operators.metrics import lease_generation
-from pulsegate.operators.segmentation import add_targets, segment_leases
+from pulsegate.operators.segmentation import add_targets, segment_leases, session_table
 from pulsegate.plans import sql
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
@@ -170,25 +170,15 @@ def leases(s: Study):
 
 @query(
     "lease_session_window",
-    """WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) >= 43200000000 THEN 1 ELSE 0 END AS b
-      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-    n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-    SELECT user_id AS mac_rnti, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us, count(*) AS n_reports
-    FROM n GROUP BY user_id, sid""",
+    f"""WITH {sql.REPORTS}, g AS (SELECT *, CASE WHEN event_time_s - lag(event_time_s) OVER w > 43200 THEN 1 ELSE 0 END AS b
+      FROM reports WINDOW w AS (PARTITION BY mac_rnti ORDER BY event_time_s)),
+    n AS (SELECT *, CAST(sum(b) OVER (PARTITION BY mac_rnti ORDER BY event_time_s ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM g)
+    SELECT mac_rnti, session, {r6('min(event_time_s)', 'start_s')}, {r6('max(event_time_s)', 'end_s')}, count(*) AS n_reports
+    FROM n GROUP BY mac_rnti, session""",
 )
 def lease_session_window(s: Study):
-    """Sessions by Spark's own session window (12 h of silence)."""
-    events = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").select(
-        F.col("user_id").alias(C.SUBJECT), F.col("ts").cast("timestamp").alias("at")
-    )
-    w = F.session_window("at", "12 hours")
-    out = events.groupBy(C.SUBJECT, w).agg(F.count(F.lit(1)).alias("n_reports"))
-    return out.select(
-        C.SUBJECT,
-        F.unix_micros("session_window.start").alias("start_us"),
-        F.unix_micros("session_window.end").alias("end_us"),
-        "n_reports",
-    )
+    """Entity sessions separated by 12 h of silence."""
+    return session_table(s.reports, 43200.0)
 
 
 @query(
