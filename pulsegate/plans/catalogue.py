@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pulsegate.plans import queries_prepare, queries_replay, queries_select  # noqa: F401
+from pulsegate.plans import queries_prepare, queries_replay, queries_select, queries_infer  # noqa: F401
 from pulsegate.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegate import columns as C
 from pulsegate.functions.ordered import row_index
-from pulsegate.functions.scalars import colon_key, slug, state_name
+from pulsegate.functions.scalars import bin_index, colon_key, logit, ratio, sigmoid, slug, state_name
 from pulsegate.operators import audit, splits
 from pulsegate.operators.epochs import attack_columns, causal_epochs, lease_epochs
 from pulsegate.operators.metrics import lease_generation
@@ -80,8 +80,6 @@ def scalar_strings(s: Study):
     {r6('CASE WHEN value > 10 THEN 100.0 / value END', 'guarded')} FROM reports""",
 )
 def scalar_math(s: Study):
-    from pulsegate.functions.scalars import bin_index, logit, ratio, sigmoid
-
     return s.reports.select(
         C.ROW,
         bin_index(C.TIME, 86400.0).alias("utc_day_index"),

@@ -20,6 +20,8 @@ from pulsegate.operators.controllers import (
 from pulsegate.operators.episodes import (
     episode_strata,
     episode_summary,
+    epoch_episodes,
+    mark_streams,
     point_summary,
     report_episodes,
     summarize_report_episodes,
@@ -28,6 +30,7 @@ from pulsegate.plans import sql
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
 from pulsegate.plans.study import DAILY, DELAY_CAP_S, EPOCH, LOCKED, Study, stateless_specs
+from pulsegate.sources.events import EVENT_ONTOLOGY
 
 TIME = [C.DECISION_TIME]
 STEP_KEY = f"candidate, rnti_lease_id, {r6('decision_time_s')}"
@@ -410,9 +413,6 @@ def epoch_flavour(s: Study):
 @query("epoch_episodes_merged", _episode_sql(DELAY_CAP_S, EPOCH))
 def epoch_flavour_merged(s: Study):
     """Episodes may bridge one unobserved epoch."""
-    from pulsegate.operators.episodes import epoch_episodes, mark_streams
-    from pulsegate.sources.events import EVENT_ONTOLOGY
-
     marked = mark_streams(s.epochs, EVENT_ONTOLOGY, EPOCH, TIME)
     out = epoch_episodes(s.trace(LOCKED, marked), delay_cap_s=DELAY_CAP_S)
     return out.select(*_EPISODE_VIEW, *_EPISODE_NUMBERS, "blocks_touched")
@@ -527,8 +527,6 @@ def _attack_ctes(rule=DAILY) -> str:
 
 
 def attack_contributions(s: Study):
-    from pulsegate.sources.events import EVENT_ONTOLOGY
-
     return contrib.attack_contributions(s.trace(), s.episodes, LABELS, EVENT_ONTOLOGY)
 
 

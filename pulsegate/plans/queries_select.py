@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pulsegate import columns as C
 from pulsegate.config import CandidateSpec, SelectionTolerances, TraceRule
+from pulsegate.functions.quantiles import exact_quantiles
+from pulsegate.functions.quantiles import weighted_median as exact_weighted_median
 from pulsegate.operators import calibration as cal
 from pulsegate.operators import selection as sel
 from pulsegate.operators.episodes import epoch_episodes, episode_summary, mark_streams
@@ -138,8 +140,6 @@ def stateless_references(s: Study):
 )
 def benign_quantiles(s: Study):
     """Exact benign score quantiles per split from the range-partitioned counts."""
-    from pulsegate.functions.quantiles import exact_quantiles
-
     q = exact_quantiles(s.epochs.where(~F.col(C.IS_ATTACK)), [C.SPLIT], C.SCORE, (0.5, 0.9, 0.99, 0.999))
     return q.select(C.SPLIT, "n", *[F.col("q")[i].alias(f"q{i}") for i in range(4)])
 
@@ -151,9 +151,7 @@ def benign_quantiles(s: Study):
 )
 def weighted_median(s: Study):
     """Median of epoch values weighted by their number of reports, without repeating rows."""
-    from pulsegate.functions.quantiles import weighted_median as median
-
-    return median(s.epochs, [C.SPLIT], "value", C.SAMPLES)
+    return exact_weighted_median(s.epochs, [C.SPLIT], "value", C.SAMPLES)
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegate import columns as C
 from pulsegate.config import CandidateSpec, SplitRule, TraceRule
-from pulsegate.operators.controllers import action_trace
+from pulsegate.operators.controllers import action_trace, explode_candidates, replay_arrays
 from pulsegate.operators.episodes import epoch_episodes, mark_report_islands, mark_streams
 from pulsegate.operators.epochs import annotate_labels, lease_epochs
 from pulsegate.operators.metrics import with_previous_attack
@@ -114,8 +114,20 @@ class Study:
         islands = mark_report_islands(with_previous_attack(self.epochs, order=order), order)
         return mark_streams(islands, EVENT_ONTOLOGY, 0.0, order)
 
+    @cached_property
+    def replayed(self) -> DataFrame:
+        """Marked epochs with the locked policies' decision arrays.
+
+        Metrics, contributions and episodes of one query all read it, so it is kept (in
+        memory, then on disk); lost blocks are recomputed from the events.
+        """
+        return replay_arrays(self.marked, LOCKED, order=[C.DECISION_TIME]).persist()
+
     def trace(self, specs=LOCKED, epochs: DataFrame | None = None) -> DataFrame:
-        return action_trace(self.marked if epochs is None else epochs, specs, order=[C.DECISION_TIME])
+        """Long action table; without ``epochs``, of the locked policies on all marked epochs."""
+        if epochs is None:
+            return explode_candidates(self.replayed, LOCKED)
+        return action_trace(epochs, specs, order=[C.DECISION_TIME])
 
     @cached_property
     def episodes(self) -> DataFrame:
