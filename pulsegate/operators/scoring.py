@@ -199,6 +199,27 @@ def fit_risk_model(
     """
     features = check_features(df.columns, features, universe)
     rows = df.where(F.col(C.SPLIT) == partition) if C.SPLIT in df.columns else df
+    # Medians, moments, weights and the optimiser each read the training rows.
+    rows = rows.persist()
+    try:
+        return _fit(rows, features, partition, kind, target, regularization_c, seed, max_depth, learning_rate, max_iter, weights)
+    finally:
+        rows.unpersist()
+
+
+def _fit(
+    rows: DataFrame,
+    features: Sequence[str],
+    partition: str,
+    kind: str,
+    target: str,
+    regularization_c: float,
+    seed: int,
+    max_depth: int,
+    learning_rate: float,
+    max_iter: int,
+    weights: dict[str, Any],
+) -> RiskModel:
     prep = fit_preprocessor(rows, features, partition)
     weighted = compose_weights(rows, target, **weights)
     training = _assemble(weighted, prep).select(
@@ -230,7 +251,7 @@ def fit_platt(
     rows = df.where(F.col(C.SPLIT) == partition) if C.SPLIT in df.columns else df
     raw = compose_weights(model.raw_score(rows), target, **weights)
     table = VectorAssembler(inputCols=[C.RAW_SCORE], outputCol="__features").transform(raw)
-    table = table.select("__features", F.col(target).cast("double").alias(TARGET), F.col(WEIGHT))
+    table = table.select("__features", F.col(target).cast("double").alias(TARGET), F.col(WEIGHT)).persist()
     n = table.count()
     fit = LogisticRegression(
         featuresCol="__features",
@@ -241,6 +262,7 @@ def fit_platt(
         tol=1e-8,
         maxIter=2000,
     ).fit(table)
+    table.unpersist()
     found = (float(fit.intercept), float(fit.coefficients[0]))
     return replace(model, calibration=found, calibration_partition=partition)
 

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from pulsegate.plans import queries_prepare, queries_replay, queries_select, queries_infer  # noqa: F401
+from pulsegate.plans import (  # noqa: F401
+    queries_infer,
+    queries_model,
+    queries_prepare,
+    queries_replay,
+    queries_select,
+)
 from pulsegate.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

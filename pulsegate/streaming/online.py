@@ -1,8 +1,7 @@
 """Structured Streaming twins: tumbling epochs, session leases, the online controller.
 
 The controller keeps one state record per entity in the state store, so a stream of any
-length holds one small record per live entity; reports of one entity in one trigger are
-consumed batch by batch in time order.
+length holds one small record per live entity.
 """
 
 from __future__ import annotations
@@ -32,8 +31,12 @@ def stream_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def read_event_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_event_stream(
+    spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1, glob: str = "*.parquet"
+) -> DataFrame:
+    """Parquet files of a folder as they arrive; files per trigger is the admission bound."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", glob).parquet(folder)
 
 
 def tumbling_epochs(events: DataFrame, width: str, lateness: str, at: str = "at") -> DataFrame:
@@ -125,22 +128,23 @@ class OnlineController(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held, lease = self._load()
-        for batch in rows:
-            ordered = batch.sort_values(C.DECISION_TIME, kind="stable")
-            out = []
-            columns = (ordered[c].to_numpy() for c in (C.LEASE, C.DECISION_TIME, C.SCORE))
-            for now_lease, t, x in zip(*columns):
-                fresh = held is None or now_lease != lease
-                at = np.array([float(t)])
-                if fresh:
-                    held, lease = FoldState.start(self.rules, at), now_lease
-                before = int(held.state[0, 0])
-                shown = advance(self.rules, held, at, np.array([np.nan if x is None else float(x)]))
-                seen = float(shown[0, 0])
-                row = (key[0], lease, float(t), self.spec.candidate, before, int(held.state[0, 0]))
-                out.append((*row, None if np.isnan(seen) else seen, fresh))
-            frame = pd.DataFrame(out, columns=DECISION_SCHEMA.fieldNames())
-            yield frame.astype({"previous_state": "int32", "state": "int32"})
+        # A shuffle does not keep arrival order, so the entity's reports of this trigger are
+        # put in time order first; admission control (files per trigger) bounds them.
+        ordered = pd.concat(list(rows), ignore_index=True).sort_values(C.DECISION_TIME, kind="stable")
+        out = []
+        columns = (ordered[c].to_numpy() for c in (C.LEASE, C.DECISION_TIME, C.SCORE))
+        for now_lease, t, x in zip(*columns):
+            fresh = held is None or now_lease != lease
+            at = np.array([float(t)])
+            if fresh:
+                held, lease = FoldState.start(self.rules, at), now_lease
+            before = int(held.state[0, 0])
+            shown = advance(self.rules, held, at, np.array([np.nan if x is None else float(x)]))
+            seen = float(shown[0, 0])
+            row = (key[0], lease, float(t), self.spec.candidate, before, int(held.state[0, 0]))
+            out.append((*row, None if np.isnan(seen) else seen, fresh))
+        frame = pd.DataFrame(out, columns=DECISION_SCHEMA.fieldNames())
+        yield frame.astype({"previous_state": "int32", "state": "int32"})
         if held is not None and lease is not None:
             self._save(held, lease)
 
