@@ -151,21 +151,15 @@ def replay_arrays(
 
 def explode_candidates(df: DataFrame, specs: Sequence[CandidateSpec], digest: str | None = None) -> DataFrame:
     """Long action table: one row per epoch and candidate."""
-    names = [
-        F.struct(F.lit(s.candidate).alias("n"), F.lit(s.family).alias("f"), F.lit(s.controller).alias("c"))
-        for s in specs
-    ]
-    steps = F.arrays_zip(
-        F.array(*names).alias("spec"), "decision", "previous", "effective", "previous_effective", "evidence"
-    )
     arrays = ("decision", "previous", "effective", "previous_effective", "evidence")
     keep = [c for c in df.columns if c not in arrays]
-    long = df.select(*keep, F.explode(steps).alias(STEPS))
+    long = df.select(*keep, F.posexplode(F.arrays_zip(*arrays)).alias("__at", STEPS))
+    # The grid is a parameter table (one row per candidate), joined by array position.
+    names = [(i, s.candidate, s.family, s.controller) for i, s in enumerate(specs)]
+    kinds = f"__at int, {C.CANDIDATE} string, {C.FAMILY} string, controller_kind string"
+    long = long.join(F.broadcast(df.sparkSession.createDataFrame(names, kinds)), "__at")
     step = F.col(STEPS)
     out = {
-        C.CANDIDATE: step["spec"]["n"],
-        C.FAMILY: step["spec"]["f"],
-        "controller_kind": step["spec"]["c"],
         "evidence_score": step["evidence"],
         "previous_state": step["previous"],
         "decision_state": step["decision"],
@@ -177,7 +171,7 @@ def explode_candidates(df: DataFrame, specs: Sequence[CandidateSpec], digest: st
     }
     if digest:
         out["candidate_lock_sha256"] = F.lit(digest)
-    return long.withColumns(out).drop(STEPS)
+    return long.withColumns(out).drop(STEPS, "__at")
 
 
 def action_trace(

@@ -8,6 +8,7 @@ import os
 import tempfile
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, is_dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -114,6 +115,8 @@ def json_ready(value: Any) -> Any:
         return [json_ready(v) for v in value]
     if isinstance(value, float) and not (value - value == 0):
         return None
+    if isinstance(value, Decimal):
+        return str(value)
     return value.item() if hasattr(value, "item") else value
 
 
