@@ -84,10 +84,10 @@ class FoldState:
             evidence_time=np.full(n, np.nan),
         )
 
-    def take(self, rows: np.ndarray) -> FoldState:
+    def take(self, rows: slice | np.ndarray) -> FoldState:
         return FoldState(**{k: v[rows] for k, v in self.__dict__.items()})
 
-    def put(self, rows: np.ndarray, other: FoldState) -> None:
+    def put(self, rows: slice | np.ndarray, other: FoldState) -> None:
         for name, values in self.__dict__.items():
             values[rows] = getattr(other, name)
 
@@ -185,10 +185,10 @@ class SortedFold:
             live = int(np.searchsorted(-lengths, -step, side="left"))
             head = slice(0, live)
             rows = starts[head] + step
-            part = state.take(np.arange(live))
-            previous = part.state
+            part = state.take(head)
+            previous = part.state.copy()
             shown = advance(self.rules, part, t[rows], x[rows])
-            state.put(np.arange(live), part)
+            state.put(head, part)
             out.previous[rows] = previous
             out.decision[rows] = part.state
             out.effective[rows] = acted[head]

@@ -16,6 +16,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs more than building these plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
 }
 
