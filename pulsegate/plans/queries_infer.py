@@ -17,7 +17,7 @@ from pulsegate.operators.metrics import action_metrics, novelty_strata, stratifi
 from pulsegate.operators.selection import cascade_selection
 from pulsegate.plans import sql
 from pulsegate.plans.queries_replay import _attack_ctes, attack_contributions
-from pulsegate.plans.queries_select import BUDGETS, TOLERANCES, declared_metrics
+from pulsegate.plans.queries_select import _CASCADE, BUDGETS, TOLERANCES, declared_metrics
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
 from pulsegate.plans.study import DAILY, DELAY_CAP_S, LOCKED, PROPOSED, REFERENCE, SPLITS, Study
@@ -391,7 +391,36 @@ def seen_unseen_table(s: Study):
     return reports.seen_unseen_table(stratified_metrics(trace, novelty_strata(trace)))
 
 
-@query("frontier_table")
+_FRONTIER_ORDER = "CASE family WHEN 'proposed' THEN 0 WHEN 'ewma' THEN 2 WHEN 'n_report' THEN 3 ELSE 4 END"
+_FRONTIER_LABEL = """CASE family WHEN 'proposed' THEN 'Friction-budgeted' WHEN 'ewma' THEN 'EWMA' WHEN 'n_report' THEN 'Two-report'
+    ELSE 'Symmetric hysteresis' END"""
+
+
+def _frontier_values(t: str) -> str:
+    pairs = {
+        f"100 * {t}.benign_friction": "realized_friction_pct",
+        f"100 * {t}.malicious_allow": "malicious_allow_pct",
+        f"100 * {t}.malicious_not_isolated": "malicious_not_isolated_pct",
+        f"{t}.transitions_per_minute": "transitions_per_observed_rnti_minute",
+        f"100 * {t}.episode_coverage": "episode_coverage_pct",
+        f"{t}.median_capped_delay_s": "median_capped_delay_s",
+    }
+    return ", ".join(r6(k, v) for k, v in pairs.items())
+
+
+@query(
+    "frontier_table",
+    with_recursive(
+        _CASCADE,
+        f"""SELECT {r6('100 * n.b', 'budget_pct')}, {_FRONTIER_ORDER.replace('family', 'n.family')} AS family_order,
+        {_FRONTIER_LABEL.replace('family', 'n.family')} AS policy_family,
+        CASE WHEN nw = 0 THEN 'no budget matched candidate' WHEN ns = 0 THEN 'security inferior' WHEN ni = 0 THEN 'isolation inferior'
+          WHEN nc = 0 THEN 'coverage inferior' WHEN nd = 0 THEN 'delay inferior' WHEN n.rt <= 1e-12 THEN 'reference churn zero'
+          WHEN 1 - m.transitions_per_minute / n.rt + 1e-12 >= 0.1 THEN 'selected' ELSE 'insufficient transition reduction' END AS status,
+        n.chosen AS candidate, {_frontier_values('m')} FROM n LEFT JOIN metrics m ON m.candidate = n.chosen
+        UNION ALL SELECT round(100 * friction_budget, 6) + 0.0, 1, 'Stateless', 'budget reference', candidate, {_frontier_values('refs')} FROM refs""",
+    ),
+)
 def frontier_table(s: Study):
     refs = cal.stateless_references(s.split("controller_tune"), BUDGETS, delay_cap_s=DELAY_CAP_S)
     return reports.frontier_table(cascade_selection(declared_metrics(s), refs, TOLERANCES), refs)
@@ -459,7 +488,17 @@ def integrity_checks(s: Study):
     return integrity.check_table(checks)
 
 
-@query("integrity_recompute", rule=DAILY)
+@query(
+    "integrity_recompute",
+    with_recursive(
+        f"{sql.trace(rule=DAILY)}, {sql.epoch_episodes(DELAY_CAP_S)}",
+        f"""SELECT 'episode keys are identical across policies' AS "check", count(*) AS violations, count(*) = 0 AS passed
+        FROM (SELECT 1 FROM episodes WHERE attack_type = '__any_attack__' GROUP BY episode_key HAVING count(DISTINCT candidate) <> {len(LOCKED)})
+        UNION ALL SELECT 'aggregates recompute from action rows', abs(sum(epochs) - (SELECT count(*) FROM trace))::BIGINT,
+          sum(epochs) = (SELECT count(*) FROM trace) FROM (SELECT candidate, family, {sql.ACTION_SUMS} FROM trace GROUP BY ALL)""",
+    ),
+    rule=DAILY,
+)
 def integrity_recompute(s: Study):
     """Aggregates recompute from rows; episode keys agree across policies."""
     trace = s.trace()

@@ -168,7 +168,19 @@ def threshold_pairs(s: Study):
     return s.spark.createDataFrame(rounded, "restrict_threshold double, isolate_threshold double")
 
 
-@query("broad_grid")
+_PAIRS = f"""{sql.epochs()}, bn AS (SELECT risk_score AS x FROM epochs WHERE {TUNE} AND NOT is_attack_epoch),
+    q AS (SELECT quantile_cont(x, {list(cal.RESTRICT_QUANTILES)}) AS r, quantile_cont(x, {list(cal.ISOLATE_QUANTILES)}) AS i FROM bn),
+    rr AS (SELECT unnest(r) AS r FROM q), ii AS (SELECT unnest(i) AS i FROM q),
+    pairs AS (SELECT DISTINCT round(r, 9) AS r, round(i, 9) AS i FROM (SELECT r, i FROM rr, ii WHERE i + 1e-12 >= r UNION ALL SELECT r, r FROM rr))"""
+
+
+@query(
+    "broad_grid",
+    f"""WITH {_PAIRS} SELECT 'stateless' AS family, 'stateless' AS controller, count(*) + 1 AS candidates FROM pairs
+    UNION ALL SELECT 'n_report', 'n_report', 3 * count(*) FROM pairs UNION ALL SELECT 'ewma', 'ewma', 4 * count(*) FROM pairs
+    UNION ALL SELECT 'symmetric_hysteresis', 'symmetric_hysteresis', count(*) FROM pairs, (VALUES (0.01), (0.025), (0.05)) h(h) WHERE r - 2 * h >= 0
+    UNION ALL SELECT 'proposed', 'asymmetric_sequential', 59 * count(*) FROM pairs""",
+)
 def broad_grid(s: Study):
     """Size of every family of the broad grid over the data's own threshold pairs."""
     specs = cal.broad_grid(cal.threshold_pairs(s.split("controller_tune")), EPOCH)
