@@ -63,7 +63,3 @@ def weighted_median(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     """
     q = exact_quantiles(df, keys, value, [0.5], F.col(weight))
     return q.select(*keys, "n", F.col("q")[0].alias("median"))
-
-
-def quantile_labels(probabilities: Sequence[float]) -> list[str]:
-    return [f"q{round(100 * p):02d}" for p in probabilities]

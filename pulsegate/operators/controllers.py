@@ -79,6 +79,7 @@ def _arrays_stateless(df: DataFrame, rules: Sequence[ControllerRule], score: str
 
 
 def _list_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Matrix rows as Arrow lists; NaN becomes NULL."""
     rows, width = values.shape
     offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * width)
     return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), type=kind, from_pandas=True))
