@@ -397,16 +397,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     placed = narrow.join(firsts, "sha").select("doc_id", "__id", "sha", "size", (F.col("__id") > F.col("first")).alias("copy"))
     placed = durable(placed)
     kept_ids = placed.where("NOT copy").select("__id").distinct()
-    source = rows.select(F.col("__id").alias("id"), "text")
-    texts = source.join(kept_ids.hint("merge"), source["id"] == kept_ids["__id"], "left_semi").select("id", "text")
+    # Where ids are unique they go under their own name: an alias would keep Spark from reusing the exchange.
+    source = rows.select("doc_id", "text") if unique else rows.select(F.col("__id").alias("doc_id"), "text")
+    texts = source.join(kept_ids.hint("merge"), source["doc_id"] == kept_ids["__id"], "left_semi").select("doc_id", "text")
     if not unique:
-        texts = texts.dropDuplicates(["id"])
+        texts = texts.dropDuplicates(["doc_id"])
 
     order = ["a", "c", "id", "start"]
     runs = texts.mapInArrow(_anchors, RUNS).repartition(n, "a").sortWithinPartitions(*order)
     paired = runs.mapInArrow(_pair_up, RUNS)
     contexts = paired.where("n > 0").groupBy("id").agg(F.collect_list(F.struct("start", "n", "a", "c")).alias("wanted"))
-    bytes_of = texts.join(contexts.hint("merge"), "id").select("id", "text", "wanted").mapInArrow(_extract, RUNS + ", part binary")
+    bytes_of = (
+        texts.join(contexts.hint("merge"), texts["doc_id"] == contexts["id"])
+        .select("doc_id", "text", "wanted")
+        .mapInArrow(_extract, RUNS + ", part binary")
+    )
     sharded = bytes_of.repartition(n, "a").sortWithinPartitions(*order).mapInArrow(_shards, RUNS)
     flags = (
         paired.where("n < 0")
@@ -417,8 +422,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     spans = "array<struct<start:bigint,end:bigint>>"
     done = annotate(
-        texts.join(flags.hint("merge"), "id", "left"),
-        ["id"],
+        texts.join(flags.hint("merge"), texts["doc_id"] == flags["id"], "left"),
+        ["doc_id"],
         [F.col("text"), F.col("flags")],
         _finish,
         f"n_bytes bigint, n_removed bigint, spans {spans}, kept_sha256 string",
@@ -433,5 +438,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
     )
     ids = placed.where("NOT copy").select("doc_id", "__id")
-    own = done.join(ids, done["id"] == ids["__id"]).select("doc_id", "n_bytes", "n_removed", "spans", "kept_sha256")
+    own = done.withColumnRenamed("doc_id", "id").join(ids, F.col("id") == F.col("__id")).select("doc_id", "n_bytes", "n_removed", "spans", "kept_sha256")
     return own.unionByName(copies)
