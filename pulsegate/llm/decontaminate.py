@@ -27,6 +27,7 @@ from pulsegate.llm.common import annotate, raw
 SIZE = 10
 # About 100 bytes a window in a worker: 2,000,000 windows stay near 200 MB.
 BROADCAST_WINDOWS = 2_000_000
+SPANS = "array<struct<start:bigint,end:bigint>>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # Fixed by the contract: A-Z become a-z; digits, letters and bytes of non-ASCII characters
@@ -145,7 +146,7 @@ def find_hits(
                 items.append(sorted(map(str, found)))
             return n_words, hits, items
 
-        new = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
+        new = f"n_words bigint, hits {SPANS}, items array<string>"
         parts.append(annotate(docs.withColumn("__content", F.sha2("text", 256)), [*keep, "__content"], [raw()], run, new))
     if len(parts) == 1:
         return parts[0].drop("__content")
@@ -159,21 +160,14 @@ def find_hits(
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
         F.sum((F.col("__block") == 0).cast("int")).alias("__copies"),
     )
+    longer = lambda a, b: F.struct(a["start"], F.greatest(a["end"], b["end"]))
     # Spans of different blocks may overlap: unite them in order of their start.
     merged = F.aggregate(
         F.array_sort("hits"),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        F.array().cast(SPANS),
         lambda done, x: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"),
-                    )
-                ),
-            ),
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer(F.element_at(done, -1), x)).cast(SPANS)),
         ).otherwise(F.concat(done, F.array(x))),
     )
     copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))

@@ -89,7 +89,7 @@ def anchors(templates: Mapping[str, str], threshold: float) -> list[str]:
     out: set[str] = set()
     for text in templates.values():
         pairs = [tuple(b.split(" ")) for b in template_bigrams(text)]
-        spare = len(pairs) * (1 - threshold / (2 - threshold))
+        spare = len(pairs) * (1 - threshold / (2 - threshold)) + 1e-9
         chosen: set[str] = set()
         for word in sorted({w for p in pairs for w in p}, key=lambda w: (-len(w), w)):
             if sum(not chosen.isdisjoint(p) for p in pairs) > spare:

@@ -104,14 +104,13 @@ STATISTICS = (
 )
 
 
-def statistics(docs: DataFrame, keep: list[str], text: str = "text", with_text: bool = False) -> DataFrame:
-    """``keep`` columns, the statistics, ``kept_words`` and, if asked for, ``cleaned`` text."""
+def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, the statistics and ``kept_words``."""
 
     def run(texts: list[str | None]):
-        columns = list(zip(*map(judge, texts))) or [()] * 7
-        return columns if with_text else columns[:6]
+        return (list(zip(*map(judge, texts))) or [()] * 7)[:6]
 
-    return annotate(docs, keep, [F.col(text)], run, STATISTICS + ", cleaned string" * with_text)
+    return annotate(docs, keep, [F.col(text)], run, STATISTICS)
 
 
 def verdict(stats: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
@@ -126,5 +125,17 @@ def verdict(stats: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
 def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """Documents that pass, with failing lines removed from their text; columns as in ``docs``."""
     rest = [c for c in docs.columns if c != text]
-    judged = verdict(statistics(docs, rest, text, with_text=True), max_loss)
-    return judged.where("kept").withColumn(text, F.col("cleaned")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def run(texts: list[str | None]):
+        cleaned, kept = [], []
+        for t in texts:
+            n, *_, repeats, kept_words, left = judge(t)
+            cleaned.append(left)
+            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+            kept.append(not failed and n - kept_words <= max_loss * n)
+        return cleaned, kept
+
+    out = annotate(docs, rest, [F.col(text)], run, f"`{text}` string, __kept boolean").where("__kept")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

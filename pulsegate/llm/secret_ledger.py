@@ -168,7 +168,8 @@ def redact(docs: DataFrame, found: DataFrame, text: str = "text", bound: int = 2
         lambda s: F.concat(s["done"], F.substring(body, (s["at"] + 1).cast("int"), F.length(body))),
     )
     changed = F.col("__spans").isNotNull()
-    out = {text: F.when(changed, state).otherwise(body)}
+    out = joined.withColumn(text, F.when(changed, state).otherwise(body))
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(changed, F.length(state)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(out).select(*[F.col(f"`{c}`") for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(changed, F.length(body)).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

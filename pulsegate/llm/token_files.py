@@ -9,7 +9,7 @@ carries open tails and document numbers across block edges.  The scan is two-lev
 ``CHUNK`` blocks and over chunk sums, so a file of any size is stitched without being one task.
 
 Edge cases.  Empty files have no documents; tokens after the last separator are an open document,
-given with ``closed`` false.  Two separators in a row close an empty document.  A NULL payload is an
+given by :func:`open_tails`.  Two separators in a row close an empty document.  A NULL payload is an
 empty block.  A file whose bytes do not make whole identifiers fails.
 """
 
@@ -99,8 +99,9 @@ def write_blocks(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int
 def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of the raw token files under ``path`` (each below 2 GB, the limit of a binary cell)."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / block_bytes) - 1, F.lit(0))))
-    return files.select("file", at.cast("long").alias("block"), "content").select(
+    last = F.greatest(F.ceil(F.length("content") / block_bytes) - 1, F.lit(0)).cast("long")
+    numbered = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"), "content")
+    return numbered.select(
         "file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("payload")
     )
 
@@ -140,7 +141,7 @@ def _prefix(table: DataFrame, order: str) -> DataFrame:
 
 
 def stitch(summary: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Documents of every file: ``file, ordinal, n_tokens, closed``."""
+    """Closed documents of every file: ``file, ordinal, n_tokens``."""
     cut = summary.withColumn("chunk", F.floor(F.col("block") / chunk))
     inside = Window.partitionBy("file", "chunk").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     local = _prefix(cut.withColumn("upto", F.sum("tokens").over(inside)), "block")
