@@ -57,7 +57,7 @@ def running_totals(
         *_same(PART, keys), *[F.sum(f"__sum_{n}").over(earlier).alias(f"__carry_{n}") for n in names]
     ).where(F.coalesce(*[F.col(f"__carry_{n}") for n in names]).isNotNull())
     # A partition continues at most one key, so ``carry`` has at most one row per partition.
-    joined = placed.join(F.broadcast(carry), _same(PART, keys), "left")
+    joined = _join_carry(placed, carry, _same(PART, keys))
     totals = {
         n: F.coalesce(F.sum(f"__in_{n}").over(local), F.lit(0)) + F.coalesce(F.col(f"__carry_{n}"), F.lit(0))
         for n in names
@@ -92,7 +92,7 @@ def neighbours(
         record = F.struct(*[F.col(old).alias(new) for new, old in wanted.items()])
         ends = placed.groupBy(*scope).agg(pick(record, position).alias("__end"))
         carried = ends.select(*scope, shift("__end").over(across).alias(edge)).where(F.col(edge).isNotNull())
-        out = out.withColumn(here, shift(record).over(local)).join(F.broadcast(carried), scope, "left")
+        out = _join_carry(out.withColumn(here, shift(record).over(local)), carried, scope)
         for new in wanted:
             out = out.withColumn(
                 new,
@@ -102,6 +102,13 @@ def neighbours(
     return out.drop(PART, *edges)
 
 
+def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of at most one row per partition; a NULL key is a key like any other."""
+    own = carry.withColumnsRenamed({k: f"__carry_key_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__carry_key_{k}`")) for k in keys]
+    return rows.join(F.broadcast(own), same, "left").drop(*[f"__carry_key_{k}" for k in keys])
+
+
 def _key_window(keys: Sequence[str]):
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
 

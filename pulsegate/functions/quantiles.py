@@ -37,7 +37,9 @@ def exact_quantiles(
     counts = value_counts(source, keys, value, weight).where("weight > 0")
     ranked = running_totals(counts, keys, [value], {"cum": F.col("weight")})
     sizes = ranked.groupBy(*keys).agg(F.sum("weight").alias("n"))
-    placed = ranked.join(sizes, keys)
+    named = sizes.withColumnsRenamed({k: f"__size_key_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__size_key_{k}`")) for k in keys]
+    placed = ranked.join(named, same).drop(*[f"__size_key_{k}" for k in keys])
 
     bounds, answers = [], []
     for i, p in enumerate(probabilities):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,17 +133,23 @@ def missing_blocks(contributions: DataFrame, blocks: DataFrame, labels: Sequence
     return candidate_grid(blocks, labels).join(have, [C.CANDIDATE, C.BLOCK], "left_anti")
 
 
+def _mapped_once(df: DataFrame, mapping: DataFrame, cluster: str, block: str) -> tuple[DataFrame, Column]:
+    """``df`` joined to its clusters, and the cluster column, which fails on a block that is mapped twice or not at all."""
+    once = mapping.groupBy(F.col(C.BLOCK).alias(block)).agg(
+        F.max(cluster).alias("__cluster"), F.count(F.lit(1)).alias("__copies")
+    )
+    ok = (F.col("__copies") == 1) & F.col("__cluster").isNotNull()
+    kind = mapping.schema[cluster].dataType
+    refused = F.raise_error(F.lit("block is not mapped to exactly one cluster")).cast(kind)
+    return df.join(once, block, "left"), F.when(ok, F.col("__cluster")).otherwise(refused)
+
+
 def roll_up(contributions: DataFrame, mapping: DataFrame, cluster: str, keys: Sequence[str]) -> DataFrame:
     """Re-aggregate contributions from blocks to clusters (``m:1``, every block mapped once).
 
     The map has one row per block; contributions are pre-aggregated per block already.
     """
-    once = mapping.groupBy(C.BLOCK).agg(F.max(cluster).alias(cluster), F.count(F.lit(1)).alias("__copies"))
-    joined = contributions.join(once, C.BLOCK, "left")
-    ok = (F.col("__copies") == 1) & F.col(cluster).isNotNull()
-    mapped = F.when(ok, F.col(cluster)).otherwise(
-        F.raise_error(F.lit("block is not mapped to exactly one cluster")).cast("long")
-    )
+    joined, mapped = _mapped_once(contributions, mapping, cluster, C.BLOCK)
     numeric = [
         f.name
         for f in contributions.schema
@@ -158,12 +164,13 @@ def roll_up(contributions: DataFrame, mapping: DataFrame, cluster: str, keys: Se
 
 def roll_up_episodes(episodes: DataFrame, mapping: DataFrame, cluster: str) -> DataFrame:
     """Replace the onset block of each episode by its cluster."""
-    side = mapping.select(F.col(C.BLOCK).alias("onset_block_id"), cluster)
-    return episodes.join(side, "onset_block_id", "left").drop("onset_block_id").withColumnRenamed(cluster, "onset_block_id")
+    joined, mapped = _mapped_once(episodes, mapping, cluster, "onset_block_id")
+    return joined.withColumn("onset_block_id", mapped).drop("__cluster", "__copies")
 
 
 def attach_cluster(df: DataFrame, mapping: DataFrame, cluster: str) -> DataFrame:
-    """Left-join a cluster column onto any table with a block id."""
+    """Cluster column for any table with a block id; a block mapped twice fails, an unmapped one has none."""
     if cluster not in mapping.columns:
         raise TraceError(f"unknown grouping candidate: {cluster}")
-    return df.join(mapping.select(C.BLOCK, cluster), C.BLOCK, "left")
+    joined, mapped = _mapped_once(df, mapping, cluster, C.BLOCK)
+    return joined.withColumn(cluster, F.when(F.col("__copies").isNotNull(), mapped)).drop("__cluster", "__copies")

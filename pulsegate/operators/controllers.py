@@ -41,10 +41,15 @@ def evaluation_order(df: DataFrame) -> list[str]:
 
 
 def oversized_leases(df: DataFrame, rule: TraceRule, keys: Sequence[str] = LEASE_KEYS) -> DataFrame:
-    """Leases with more epochs than one block can hold (empty for prepared tables)."""
+    """Leases with more epochs than one block can hold (empty for prepared tables).
+
+    A rule without ``max_block_seconds`` bounds nothing and is refused.
+    """
     bound = rule.lease_epoch_bound
+    if bound is None:
+        raise ValueError("leases are unbounded: set max_block_seconds")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("epochs"))
-    return counts.where(F.col("epochs") > bound) if bound is not None else counts.limit(0)
+    return counts.where(F.col("epochs") > bound)
 
 
 def _stateless_goal(score: Column, rule: ControllerRule) -> Column:

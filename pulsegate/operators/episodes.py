@@ -35,15 +35,19 @@ def mark_report_islands(
     episode_id: str | None = None,
     keys: Sequence[str] = LEASE_KEYS,
 ) -> DataFrame:
-    """Number runs of attack reports; a benign report, a new type or a new id ends a run."""
-    w = lease_window(list(order or evaluation_order(df)), keys)
+    """Number runs of attack reports; a benign report, a new lease, a new type or a new id ends a run.
+
+    Runs are cut along the entity, so a lease id that comes back after another lease starts a new run;
+    numbers count per lease.
+    """
+    w = lease_window(list(order or evaluation_order(df)), [k for k in keys if k != C.LEASE])
     attack = F.col(C.IS_ATTACK)
     opens = ~F.coalesce(F.lag(C.IS_ATTACK).over(w), F.lit(False))
-    for tag in (attack_type, episode_id):
+    for tag in (C.LEASE if C.LEASE in keys else None, attack_type, episode_id):
         if tag:
             opens = opens | ~F.col(tag).eqNullSafe(F.lag(tag).over(w))
     run = df.withColumn("__open", (attack & opens).cast("long"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    upto = lease_window(list(order or evaluation_order(df)), keys).rowsBetween(Window.unboundedPreceding, 0)
     return run.withColumn(ISLAND, F.sum("__open").over(upto)).drop("__open")
 
 

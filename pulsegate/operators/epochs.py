@@ -144,7 +144,7 @@ def sweep_leases(epochs: DataFrame, timeouts: Sequence[float], column: str = "le
         raise ValueError("lease timeouts must be positive")
     listed = F.array(*[F.lit(float(t)) for t in timeouts])
     cut = open_leases(epochs.withColumn(column, F.explode(listed)), F.col(column), [column])
-    return cut.withColumn(C.LEASE, F.concat(C.LEASE, F.lit("@"), F.col(column).cast("long").cast("string")))
+    return cut.withColumn(C.LEASE, F.concat(C.LEASE, F.lit("@"), F.col(column).cast("string")))
 
 
 def attack_columns(df: DataFrame, ontology: Ontology = TRACE_ONTOLOGY) -> DataFrame:

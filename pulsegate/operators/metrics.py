@@ -64,11 +64,12 @@ def hold_durations(
     """Sample-and-hold seconds until the entity's next report of the same lease generation.
 
     Works on raw reports of any length per entity: neighbours come from the range
-    partitioned scan.  The last report holds until ``horizon`` (a column) or for 0 s; a
-    step back in time or a horizon before the last report fails the job.
+    partitioned scan.  The last report holds until ``horizon`` (a column) or for 0 s.
+    Reports follow each other in source order, so a step back in time, like a horizon
+    before the last report, fails the job.
     """
     nexts = {"__next_t": time, "__next_lease": lease}
-    out = neighbours(df, [subject], [time, row], following=nexts)
+    out = neighbours(df, [subject], [row], following=nexts)
     same = F.col("__next_lease") == F.col(lease)
     until = F.when(same, F.col("__next_t"))
     if horizon:

@@ -136,8 +136,7 @@ def _long(df: DataFrame, contrasts: Sequence[Contrast], keep: Sequence[str]) ->
 
 def replicate_sums(grid: DataFrame, draws: DataFrame, values: Sequence[str]) -> DataFrame:
     """Sum the drawn blocks' values per replicate; ``grid`` has one row per block."""
-    small = F.broadcast(grid.select(INDEX, *values))
-    return draws.join(small, INDEX).groupBy("replicate").agg(*[F.sum(v).alias(v) for v in values])
+    return draws.join(grid.select(INDEX, *values), INDEX).groupBy("replicate").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def contrast_draws(grid: DataFrame, draws: DataFrame, contrasts: Sequence[Contrast] = PRIMARY_CONTRASTS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from pulsegate.plans.sql import r6, with_recursive
 from pulsegate.plans.study import DAILY, DELAY_CAP_S, LOCKED, PROPOSED, REFERENCE, SPLITS, Study
 from pulsegate.sources.events import EVENT_ONTOLOGY
 
-REPLICATES = 400
+REPLICATES = 5000
+ATTACK_TYPES = ("error", "purchase")
 SEED = boot.DEFAULT_SEED
 GATES = (
     boot.Gate("attack_exposure_difference", "max", 0.02),
@@ -233,13 +236,18 @@ def class_exposure(s: Study, attack: str) -> DataFrame:
 
 @query(
     "boot_class_exposure",
-    with_recursive(
-        boot_ctes((boot.CLASS_EXPOSURE,), "error").replace("{grid}", "xgrid"), f"SELECT {_IV_VIEW} FROM iv"
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS attack_type, * FROM ("
+        + with_recursive(boot_ctes((boot.CLASS_EXPOSURE,), a).replace("{grid}", "xgrid"), f"SELECT {_IV_VIEW} FROM iv")
+        + ")"
+        for a in ATTACK_TYPES
     ),
     rule=DAILY,
 )
 def boot_class_exposure(s: Study):
-    return _interval_view(class_exposure(s, "error"))
+    """Exposure contrast of every attack type."""
+    each = [_interval_view(class_exposure(s, a)).select(F.lit(a).alias("attack_type"), "*") for a in ATTACK_TYPES]
+    return reduce(DataFrame.unionByName, each)
 
 
 def median_delay(s: Study) -> tuple[DataFrame, DataFrame]:

@@ -112,7 +112,7 @@ def platt_score(s: Study):
 @query("gbt_score")
 def gbt_score(s: Study):
     """Shallow tree-ensemble sensitivity model, scored per split."""
-    model, df = _fitted(s, "gradient_boosted_trees", max_iter=20)
+    model, df = _fitted(s, "gradient_boosted_trees")
     scored = scoring.score_frame(model, df, [C.SPLIT])
     return scored.groupBy(C.SPLIT).agg(F.count(F.lit(1)).alias("epochs"), F.avg(C.SCORE).alias("mean_score"))
 

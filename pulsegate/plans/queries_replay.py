@@ -541,17 +541,14 @@ def attack_block_contributions(s: Study):
 
 @query(
     "dense_block_grid",
-    f"""WITH {sql.blocks(DAILY)}, n AS (SELECT trace_block_id, label AS candidate, count(*) AS c FROM blocked WHERE label <> 'view'
-      OR trace_block_id % 2 = 0 GROUP BY 1, 2)
+    f"""WITH {sql.blocks()}, n AS (SELECT trace_block_id, label AS candidate, count(*) AS c FROM blocked GROUP BY 1, 2)
     SELECT b.trace_block_id, k.candidate, 'label' AS family, coalesce(n.c, 0) AS n_rows FROM (SELECT DISTINCT trace_block_id FROM blocked) b,
     (SELECT unnest(['click', 'signup', 'view', 'error', 'purchase']) AS candidate) k LEFT JOIN n
       ON n.trace_block_id = b.trace_block_id AND n.candidate = k.candidate""",
-    rule=DAILY,
 )
 def dense_block_grid(s: Study):
-    """Zero-filled grid; one class is absent from every other block."""
-    present = s.blocked.where((F.col("label") != "view") | (F.col(C.BLOCK) % 2 == 0))
-    counts = present.groupBy(C.BLOCK, F.col("label").alias(C.CANDIDATE)).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Zero-filled grid of block and label; short blocks lack labels."""
+    counts = s.blocked.groupBy(C.BLOCK, F.col("label").alias(C.CANDIDATE)).agg(F.count(F.lit(1)).alias("n_rows"))
     labels = [(x, "label") for x in ("click", "signup", "view", "error", "purchase")]
     grid = contrib.candidate_grid(s.blocked, labels)
     return contrib.fill_grid(grid, counts, [C.BLOCK, C.CANDIDATE])
