@@ -15,6 +15,8 @@ from pulsegate.session import ship_package
 # Fixed by the contracts: words are runs of anything but space and \t-\r.
 WORD = r"[^\x20\x09-\x0D]+"
 
+SLICE = 1024
+
 
 def raw(text: str = "text") -> Column:
     """UTF-8 bytes of a text column, so that Python tasks neither decode nor encode again."""
@@ -49,10 +51,13 @@ def annotate(
     types, n = [f.type for f in to_arrow_schema(added)], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = fn(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
-            columns = [pa.array(values, t) for values, t in zip(found, types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=schema.names)
+        for whole in batches:
+            # Slices keep the Python objects of a batch few at a time.
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                found = fn(*[batch.column(i).to_pylist() for i in range(n, batch.num_columns)])
+                columns = [pa.array(values, t) for values, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
