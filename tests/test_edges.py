@@ -67,6 +67,6 @@ def test_steps_back_in_time_fail(spark):
 
 
 def test_sweep_ids_keep_fractions(spark):
-    kinds = f"{C.BLOCK} long, {C.SUBJECT} long, epoch_index long, {C.DECISION_TIME} double, first_event_time_s double, last_event_time_s double"
-    df = spark.createDataFrame([(1, 1, 0, 1.0, 0.0, 0.5)], kinds)
+    kinds = f"{C.BLOCK} long, {C.SUBJECT} long, {C.EPOCH_START} double, {C.DECISION_TIME} double, first_event_time_s double, last_event_time_s double"
+    df = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0, 0.5)], kinds)
     assert len({r[C.LEASE] for r in sweep_leases(df, [1.2, 1.5]).collect()}) == 2
