@@ -107,6 +107,23 @@ def fold_batches(
             yield batch, fold.run(first, t, x)
 
 
+def fold_slices(
+    batches: Iterator[pa.RecordBatch], rules: Sequence[ControllerRule], time: str, score: str, width: int = 128
+):
+    """Yield ``(batch, results)``: one ``(first candidate, FoldResult)`` per slice of ``width`` rules.
+
+    Slices bound the matrices of a large grid; ``results`` is lazy, so one slice is held at a time.
+    """
+    starts = range(0, len(rules), width)
+    folds = [(at, SortedFold(rules[at : at + width], False)) for at in starts]
+    for batch in batches:
+        if batch.num_rows:
+            column = {n: batch.column(batch.schema.get_field_index(n)) for n in (TICK, time, score)}
+            first = column[TICK].to_numpy(zero_copy_only=False) == 1
+            t, x = (column[n].to_numpy(zero_copy_only=False).astype(float) for n in (time, score))
+            yield batch, ((at, fold.run(first, t, x)) for at, fold in folds)
+
+
 def in_lease_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Number the epochs of each lease; the window's exchange and sort also place the rows.
 

@@ -151,6 +151,18 @@ class SortedFold:
         self.keep_evidence = evidence
         self._open: tuple[FoldState, np.ndarray, np.ndarray] | None = None
 
+    def resume(self, state: FoldState) -> None:
+        """Go on with a stored lease; actions in force before it are not known (ALLOW)."""
+        allow = np.zeros((1, len(self.rules)), dtype=np.int8)
+        self._open = (state, allow, allow.copy())
+
+    @property
+    def open_state(self) -> FoldState:
+        """Controller of the last lease of the last batch."""
+        if self._open is None:
+            raise ValueError("nothing folded yet")
+        return self._open[0]
+
     def run(self, first: np.ndarray, t: np.ndarray, x: np.ndarray) -> FoldResult:
         """``first`` marks the rows that open a lease; row 0 may continue the open one."""
         n, c = len(t), len(self.rules)

@@ -153,18 +153,16 @@ def _event_stream(s: Study):
     return stream.select(F.col("user_id").alias(C.SUBJECT), F.col("ts").cast("timestamp").alias("at"))
 
 
-_CLOSED = "(SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)"
-
-
 @query(
     "tumbling_stream",
     f"""SELECT user_id AS mac_rnti, (epoch_us(ts) // 14400000000) * 14400 + 14400 AS decision_time_s, count(*) AS samples_in_epoch
-    FROM events GROUP BY 1, 2 HAVING decision_time_s * 1000000 <= {_CLOSED}""",
+    FROM events GROUP BY 1, 2""",
 )
 def tumbling_stream(s: Study):
-    """Windows the watermark (one hour behind the newest event) has closed."""
-    stream = online.tumbling_epochs(_event_stream(s), "4 hours", "1 hour")
-    return online.run_to_table(stream, online.stream_folder(s.spark))
+    """Windows of the whole stream; those open at its end are closed by its end."""
+    return online.run_closed(
+        _event_stream(s), lambda events: online.tumbling_epochs(events, "4 hours", "1 hour"), online.stream_folder(s.spark)
+    )
 
 
 @query(
@@ -173,11 +171,12 @@ def tumbling_stream(s: Study):
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     n AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
     SELECT user_id AS mac_rnti, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 43200000000 AS end_us, count(*) AS n_reports
-    FROM n GROUP BY user_id, sid HAVING end_us <= {_CLOSED}""",
+    FROM n GROUP BY user_id, sid""",
 )
 def session_stream(s: Study):
-    stream = online.session_leases(_event_stream(s), "12 hours", "1 hour")
-    return online.run_to_table(stream, online.stream_folder(s.spark))
+    return online.run_closed(
+        _event_stream(s), lambda events: online.session_leases(events, "12 hours", "1 hour"), online.stream_folder(s.spark)
+    )
 
 
 @query(

@@ -191,10 +191,9 @@ def broad_grid(s: Study):
 
 @query("broad_search")
 def broad_search(s: Study):
-    """Metrics of every candidate of a reduced-pair broad grid, then within-family selection."""
+    """Metrics of every candidate of the broad grid over all threshold pairs, then within-family selection."""
     tune = s.split("controller_tune")
-    pairs = cal.threshold_pairs(tune)
-    specs = cal.broad_grid([pairs[0], pairs[len(pairs) // 2]], EPOCH)
+    specs = cal.broad_grid(cal.threshold_pairs(tune), EPOCH)
     return sel.within_family(cal.candidate_metrics(tune, specs, delay_cap_s=DELAY_CAP_S), BUDGETS, delay_margin_s=EPOCH)
 
 

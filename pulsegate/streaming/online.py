@@ -7,7 +7,7 @@ length holds one small record per live entity.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -20,7 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pulsegate import columns as C
 from pulsegate.config import CandidateSpec
 from pulsegate.functions.scalars import is_finite
-from pulsegate.operators.fold import FoldState, RuleMatrix, advance
+from pulsegate.operators.fold import FoldState, SortedFold
+from pulsegate.schema import TraceError
 from pulsegate.session import checkpoint_dir, ship_package
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,15 +41,15 @@ def read_event_stream(
 
 
 def tumbling_epochs(events: DataFrame, width: str, lateness: str, at: str = "at") -> DataFrame:
-    """Reports per entity and window, stamped with the right edge; late reports are dropped
-    by the watermark, empty windows do not appear."""
+    """Reports per entity and window, stamped with the right edge; empty windows do not appear.
+    :func:`run_to_table` refuses reports behind the watermark."""
     w = F.window(at, width)
     out = events.withWatermark(at, lateness).groupBy(w, C.SUBJECT).agg(F.count(F.lit(1)).alias(C.SAMPLES))
     return out.select(C.SUBJECT, F.unix_seconds("window.end").alias(C.DECISION_TIME), C.SAMPLES)
 
 
 def session_leases(events: DataFrame, gap: str, lateness: str, at: str = "at") -> DataFrame:
-    """Entity sessions closed by silence."""
+    """Entity sessions closed by silence; :func:`run_to_table` refuses reports behind the watermark."""
     w = F.session_window(at, gap)
     out = events.withWatermark(at, lateness).groupBy(w, C.SUBJECT).agg(F.count(F.lit(1)).alias("n_reports"))
     return out.select(
@@ -90,7 +91,6 @@ class OnlineController(StatefulProcessor):
         self.spec = spec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rules = RuleMatrix.of([self.spec.rule()])
         self.store = handle.getValueState("controller", _STATE_FIELDS)
 
     def _load(self) -> tuple[FoldState | None, str | None]:
@@ -131,22 +131,27 @@ class OnlineController(StatefulProcessor):
         # A shuffle does not keep arrival order, so the entity's reports of this trigger are
         # put in time order first; admission control (files per trigger) bounds them.
         ordered = pd.concat(list(rows), ignore_index=True).sort_values(C.DECISION_TIME, kind="stable")
-        out = []
-        columns = (ordered[c].to_numpy() for c in (C.LEASE, C.DECISION_TIME, C.SCORE))
-        for now_lease, t, x in zip(*columns):
-            fresh = held is None or now_lease != lease
-            at = np.array([float(t)])
-            if fresh:
-                held, lease = FoldState.start(self.rules, at), now_lease
-            before = int(held.state[0, 0])
-            shown = advance(self.rules, held, at, np.array([np.nan if x is None else float(x)]))
-            seen = float(shown[0, 0])
-            row = (key[0], lease, float(t), self.spec.candidate, before, int(held.state[0, 0]))
-            out.append((*row, None if np.isnan(seen) else seen, fresh))
-        frame = pd.DataFrame(out, columns=DECISION_SCHEMA.fieldNames())
-        yield frame.astype({"previous_state": "int32", "state": "int32"})
-        if held is not None and lease is not None:
-            self._save(held, lease)
+        leases, t = ordered[C.LEASE].to_numpy(), ordered[C.DECISION_TIME].to_numpy(dtype=float)
+        fresh = np.r_[held is None or leases[0] != lease, leases[1:] != leases[:-1]]
+        fold = SortedFold([self.spec.rule()])
+        if held is not None:
+            fold.resume(held)
+        result = fold.run(fresh, t, ordered[C.SCORE].to_numpy(dtype=float))
+        frame = pd.DataFrame(
+            {
+                C.SUBJECT: key[0],
+                C.LEASE: leases,
+                C.DECISION_TIME: t,
+                C.CANDIDATE: self.spec.candidate,
+                "previous_state": result.previous[:, 0].astype("int32"),
+                "state": result.decision[:, 0].astype("int32"),
+                "evidence_score": pd.array(result.evidence[:, 0], dtype="Float64"),
+                "lifecycle_start": fresh,
+            }
+        )
+        frame["evidence_score"] = frame["evidence_score"].mask(np.isnan(result.evidence[:, 0]))
+        yield frame
+        self._save(fold.open_state, leases[-1])
 
     def close(self) -> None:
         return None
@@ -165,10 +170,41 @@ def online_decisions(reports: DataFrame, spec: CandidateSpec) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", **options: str) -> DataFrame:
-    """Consume everything available, write Parquet exactly once, return the table."""
+    """Consume everything available, write Parquet exactly once, return the table.
+
+    Reports behind the watermark would be left out of the table: they fail the run.
+    """
     spark = stream.sparkSession
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state")
     for key, value in options.items():
         writer = writer.option(key, value)
-    writer.trigger(availableNow=True).start(f"{folder}/table").awaitTermination()
+    run = writer.trigger(availableNow=True).start(f"{folder}/table")
+    ended = False
+    while not ended:
+        # Progress is kept for the last hundred batches, far more than a second holds.
+        ended = run.awaitTermination(1)
+        late = sum(op["numRowsDroppedByWatermark"] for p in run.recentProgress for op in p["stateOperators"])
+        if late:
+            run.stop()
+            raise TraceError(f"{late} late groups of reports behind the watermark")
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+# After any event; a watermark that reaches it has closed every window.
+END_OF_TIME = "9000-01-01"
+
+
+def run_closed(events: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, at: str = "at") -> DataFrame:
+    """Run ``build(events)`` over a stream that ends: windows still open at its end are closed too.
+
+    Once everything available is consumed, one marker row beyond all event times moves the watermark
+    past every window.  Its own window never closes, so the marker never shows.  The stream is then
+    over: later reports are late.
+    """
+    spark, marks = events.sparkSession, f"{folder}/marks"
+    spark.createDataFrame([], events.schema).write.parquet(marks)
+    stream = build(events.unionByName(spark.readStream.schema(events.schema).parquet(marks)))
+    run_to_table(stream, folder)
+    cells = [F.lit(END_OF_TIME if f.name == at else None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*cells).write.mode("append").parquet(marks)
+    return run_to_table(stream, folder)

@@ -8,6 +8,7 @@ import pytest
 
 from pulsegate import columns as C
 from pulsegate.config import CandidateSpec
+from pulsegate.schema import TraceError
 from pulsegate.streaming import online
 from tests.walkers import walk_controller
 
@@ -51,3 +52,39 @@ def test_time_running_backwards_fails_the_query(spark, tmp_path):
     stream = online.read_event_stream(spark, str(source), schema, files_per_trigger=1)
     with pytest.raises(Exception, match="(?i)decrease|failed"):
         online.run_to_table(online.online_decisions(stream, SPEC), str(tmp_path / "out"))
+
+
+def _events(folder, parts):
+    """One file per part, in the order in which the stream reads them."""
+    import os
+
+    for number, times in enumerate(parts):
+        rows = [(k % 2, pd.Timestamp("2024-01-01", tz="UTC") + pd.Timedelta(minutes=m)) for k, m in enumerate(times)]
+        path = folder / f"part-{number}.parquet"
+        pd.DataFrame(rows, columns=[C.SUBJECT, "at"]).astype({"at": "datetime64[us, UTC]"}).to_parquet(path)
+        os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+def _stream(spark, folder):
+    return online.read_event_stream(spark, str(folder), spark.read.parquet(str(folder)).schema)
+
+
+def test_windows_open_at_the_end_are_closed(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    # 50 comes after 55 but within the lateness.
+    _events(source, [[1, 2, 55], [50, 70, 71]])
+    out = online.run_closed(_stream(spark, source), lambda e: online.tumbling_epochs(e, "1 hour", "30 minutes"), str(tmp_path / "out"))
+    base = 1_704_067_200
+    want = [(0, base + 3600, 3), (0, base + 7200, 1), (1, base + 3600, 1), (1, base + 7200, 1)]
+    assert sorted((r[C.SUBJECT], r[C.DECISION_TIME], r[C.SAMPLES]) for r in out.collect()) == want
+    sessions = online.run_closed(_stream(spark, source), lambda e: online.session_leases(e, "20 minutes", "30 minutes"), str(tmp_path / "s"))
+    assert sum(r["n_reports"] for r in sessions.collect()) == 6
+
+
+def test_late_reports_fail_the_run(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    _events(source, [[1, 2], [600], [601], [3]])
+    with pytest.raises(TraceError, match="late"):
+        online.run_to_table(online.tumbling_epochs(_stream(spark, source), "1 hour", "30 minutes"), str(tmp_path / "out"))
