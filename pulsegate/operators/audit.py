@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pulsegate import columns as C
@@ -73,10 +74,13 @@ def duplicate_members(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def time_reversals(df: DataFrame, time: str, row: str = C.ROW, chunk_rows: int = 1 << 20) -> DataFrame:
     """Steps back in time along the source order.
 
-    Source rows are cut into chunks of ``chunk_rows`` consecutive ids; each chunk is one
-    window group, and only chunk edges meet in a second, chunk-count-sized window.
+    Source rows are cut into chunks of ``chunk_rows`` consecutive ids (of a file split, where the row is
+    a source position); each chunk is one window group, and only chunk edges meet in a second,
+    chunk-count-sized window.
     """
-    chunk = F.floor(F.col(row) / F.lit(chunk_rows)).alias("__chunk")
+    kind = df.schema[row].dataType
+    *outer, inner = [f"{row}.{f}" for f in kind.names] if isinstance(kind, T.StructType) else [row]
+    chunk = F.struct(*map(F.col, outer), F.floor(F.col(inner) / F.lit(chunk_rows)).alias("number")).alias("__chunk")
     rows = df.select(chunk, F.col(row).alias("__row"), F.col(time).try_cast("double").alias("__t"))
     inside = Window.partitionBy("__chunk").orderBy("__row")
     steps = rows.withColumn("__prev", F.lag("__t").over(inside))

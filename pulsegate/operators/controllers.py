@@ -217,13 +217,17 @@ def replay_inputs(df: DataFrame) -> DataFrame:
 
 # -- window-only forms of single stateful controllers ---------------------------------
 
+# Time constants per running sum: exp of twice this is still finite.
+_SEGMENT = 300.0
+
 
 def ewma_evidence(df: DataFrame, tau_s: float, score: str, order: Sequence[str], name: str = "evidence") -> DataFrame:
-    """Irregular-time EWMA as one running sum.
+    """Irregular-time EWMA as running sums.
 
     The product of ``1 - alpha`` telescopes to ``exp(-elapsed / tau)``, so the evidence is
-    ``exp(-t/tau) * sum(alpha_i * x_i * exp(t_i/tau))`` with ``t`` counted from the first
-    finite score.  Needs lease span / tau below about 600; use the fold beyond.
+    ``exp(-t/tau) * sum(alpha_i * x_i * exp(t_i/tau))``.  Sums restart every ``_SEGMENT`` tau, which
+    keeps the exponentials finite over leases of any length; the segment before adds its whole sum,
+    older ones weigh less than ``exp(-_SEGMENT)``, far below a rounding error.
     """
     w = lease_window(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -238,9 +242,14 @@ def ewma_evidence(df: DataFrame, tau_s: float, score: str, order: Sequence[str],
     )
     age = (F.col(time) - F.col("__t0")) / F.lit(float(tau_s))
     alpha = F.when(F.col("__tp").isNull(), 1.0).otherwise(-F.expm1(-(F.col(time) - F.col("__tp")) / F.lit(float(tau_s))))
-    term = F.when(is_finite(score), alpha * F.col(score) * F.exp(age))
-    total = F.sum(term).over(upto)
-    return marked.withColumn(name, F.when(is_finite(score), F.exp(-age) * total)).drop("__t0", "__tp")
+    cut = marked.withColumn("__segment", F.floor(age / _SEGMENT)).withColumn("__age", age - F.col("__segment") * F.lit(_SEGMENT))
+    term = F.when(is_finite(score), alpha * F.col(score) * F.exp("__age"))
+    own = lease_window(order, (*LEASE_KEYS, "__segment")).rowsBetween(Window.unboundedPreceding, 0)
+    last = lease_window(["__segment"]).rangeBetween(-1, -1)
+    sums = cut.withColumn("__term", term).withColumns({"__own": F.sum("__term").over(own), "__last": F.sum("__term").over(last)})
+    total = F.col("__own") + F.exp(F.lit(-_SEGMENT)) * F.coalesce("__last", F.lit(0.0))
+    out = sums.withColumn(name, F.when(is_finite(score), F.exp(-F.col("__age")) * total))
+    return out.drop("__t0", "__tp", "__segment", "__age", "__term", "__own", "__last")
 
 
 def hysteresis_states(

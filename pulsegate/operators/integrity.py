@@ -71,7 +71,7 @@ def action_checks(trace: DataFrame, epochs: DataFrame, candidates: int) -> list[
 
 
 def recompute_checks(trace: DataFrame, saved: DataFrame, by: Sequence[str] = (C.CANDIDATE, C.FAMILY)) -> list[DataFrame]:
-    """Saved aggregates equal aggregates recomputed from rows."""
+    """Saved aggregates (any additive columns of the metrics) equal aggregates recomputed from rows."""
     fresh = action_metrics(trace, by).select(*saved.columns)
     drift = fresh.exceptAll(saved).unionByName(saved.exceptAll(fresh))
     return [_one("aggregates recompute from action rows", drift, F.count(F.lit(1)))]

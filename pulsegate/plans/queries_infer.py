@@ -15,14 +15,14 @@ from pulsegate.operators import resampling as boot
 from pulsegate.operators.controllers import action_trace, replay_inputs
 from pulsegate.operators.episodes import epoch_episodes, episode_summary
 from pulsegate.operators.epochs import causal_epochs
-from pulsegate.operators.metrics import action_metrics, novelty_strata, stratified_metrics
+from pulsegate.operators.metrics import BY_CANDIDATE, action_metrics, novelty_strata, stratified_metrics
 from pulsegate.operators.selection import cascade_selection
 from pulsegate.plans import sql
 from pulsegate.plans.queries_replay import _attack_ctes, attack_contributions
 from pulsegate.plans.queries_select import _CASCADE, BUDGETS, TOLERANCES, declared_metrics
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
-from pulsegate.plans.study import DAILY, DELAY_CAP_S, LOCKED, PROPOSED, REFERENCE, SPLITS, Study
+from pulsegate.plans.study import DAILY, DELAY_CAP_S, EPOCH, LOCKED, PROPOSED, REFERENCE, SPLITS, Study
 from pulsegate.sources.events import EVENT_ONTOLOGY
 
 REPLICATES = 5000
@@ -496,22 +496,30 @@ def integrity_checks(s: Study):
     return integrity.check_table(checks)
 
 
+_ROLLED = "observed_time_s benign_time_s attack_time_s benign_contained_time_s attack_exposed_time_s".split()
+
+
 @query(
     "integrity_recompute",
     with_recursive(
         f"{sql.trace(rule=DAILY)}, {sql.epoch_episodes(DELAY_CAP_S)}",
         f"""SELECT 'episode keys are identical across policies' AS "check", count(*) AS violations, count(*) = 0 AS passed
         FROM (SELECT 1 FROM episodes WHERE attack_type = '__any_attack__' GROUP BY episode_key HAVING count(DISTINCT candidate) <> {len(LOCKED)})
-        UNION ALL SELECT 'aggregates recompute from action rows', abs(sum(epochs) - (SELECT count(*) FROM trace))::BIGINT,
-          sum(epochs) = (SELECT count(*) FROM trace) FROM (SELECT candidate, family, {sql.ACTION_SUMS} FROM trace GROUP BY ALL)""",
+        UNION ALL SELECT 'aggregates recompute from action rows', count(*), count(*) = 0
+          FROM (SELECT candidate, family, {sql.ACTION_SUMS} FROM trace GROUP BY ALL) whole
+          JOIN (SELECT candidate, {', '.join(f'sum({v}) AS b_{v}' for v in _ROLLED)}
+                FROM (SELECT candidate, trace_block_id, {sql.ACTION_SUMS} FROM trace GROUP BY ALL) GROUP BY 1) USING (candidate)
+          WHERE {' OR '.join(f'{v} <> b_{v}' for v in _ROLLED)}""",
     ),
     rule=DAILY,
 )
 def integrity_recompute(s: Study):
-    """Aggregates recompute from rows; episode keys agree across policies."""
+    """Block contributions, added up, equal aggregates of the rows; episode keys agree across policies."""
     trace = s.trace()
+    blocks = contrib.action_contributions(trace)
+    rolled = blocks.groupBy(*BY_CANDIDATE).agg(*[F.sum(v).alias(v) for v in _ROLLED])
     checks = [
-        *integrity.recompute_checks(trace, action_metrics(trace)),
+        *integrity.recompute_checks(trace, rolled),
         *integrity.episode_checks(s.episodes, len(LOCKED)),
     ]
     return integrity.check_table(checks)
@@ -519,7 +527,11 @@ def integrity_recompute(s: Study):
 
 @query(
     "row_alignment",
-    f"WITH {sql.epochs()} SELECT count(*) AS rows, 0::BIGINT AS misaligned FROM epochs",
+    f"""WITH {sql.epochs()}, a AS (SELECT trace_block_id, mac_rnti, rnti_lease_id, decision_time_s FROM epochs),
+    b AS (SELECT DISTINCT trace_block_id, mac_rnti, trace_block_id || ':' || mac_rnti || ':' || rnti_lease_sequence AS rnti_lease_id,
+        (floor(event_time_s / {EPOCH}) + 1) * {EPOCH} AS decision_time_s FROM opened)
+    SELECT (SELECT count(*) FROM a) AS rows, count(*) AS misaligned
+    FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))""",
 )
 def row_alignment(s: Study):
     """The fused and the row-wise epoch builders agree on every key."""

@@ -189,12 +189,60 @@ def broad_grid(s: Study):
     return df.groupBy(C.FAMILY, "controller").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query("broad_search")
+# The broad grid written out from its definition: families over pairs, numbered along the sorted pairs.
+_BROAD = f"""{_PAIRS[len(sql.epochs()) + 2 :]},
+    placed AS (SELECT r, i, row_number() OVER (ORDER BY r, i) - 1 AS p FROM pairs),
+    made AS (
+      SELECT 'stateless' AS family, 'stateless' AS controller_kind, -1 AS p, 0 AS k, 1.1 AS re, 1.1 AS rx, 1.2 AS ie, 1.2 AS ix, 1 AS en, 1 AS rn,
+          0.0 AS hr, NULL::DOUBLE AS tau, false AS staged
+      UNION ALL SELECT 'stateless', 'stateless', p, 0, r, r, i, i, 1, 1, 0, NULL, false FROM placed
+      UNION ALL SELECT 'n_report', 'n_report', p, n, r, r, i, i, n, n, 0, NULL, true FROM placed, (VALUES (2), (3), (5)) v(n)
+      UNION ALL SELECT 'ewma', 'ewma', p, k, r, r, i, i, 1, 1, 0, t * {EPOCH}, false FROM placed, (VALUES (0, 0.5), (1, 1.0), (2, 2.0), (3, 5.0)) v(k, t)
+      UNION ALL SELECT 'symmetric_hysteresis', 'symmetric_hysteresis', p, k, r, r - 2 * h, i, i - 2 * h, 1, 1, 0, NULL, true
+        FROM placed, (VALUES (0, 0.01), (1, 0.025), (2, 0.05)) v(k, h) WHERE r - 2 * h >= 0
+      UNION ALL SELECT 'proposed', 'asymmetric_sequential', p, k, r, greatest(0, r - m), i, greatest(greatest(0, r - m), i - m), en, rn,
+          hold * {EPOCH}, t * {EPOCH}, true
+        FROM placed, (SELECT 0.05 AS m, row_number() OVER (ORDER BY t NULLS FIRST, en, rn, hold) AS k, en, rn, hold, t
+                  FROM (VALUES (NULL::DOUBLE), (0.5), (2.0), (5.0)) a(t), (VALUES (1), (2)) b(en), (VALUES (3), (5)) c(rn), (VALUES (2.0), (5.0)) d(hold)
+                  UNION ALL SELECT m, 100 + row_number() OVER (ORDER BY rn, hold, m), 1, rn, hold, NULL
+                  FROM (VALUES (0.005), (0.01), (0.025)) a(m), (VALUES (1), (2), (3)) c(rn), (VALUES (0.0), (1.0), (2.0)) d(hold))),
+    cand AS MATERIALIZED (SELECT family || '-' || lpad((row_number() OVER (PARTITION BY family ORDER BY p, k) - 1)::VARCHAR, 4, '0') AS candidate,
+        family, controller_kind, re::DOUBLE AS re, rx::DOUBLE AS rx, ie::DOUBLE AS ie, ix::DOUBLE AS ix, en, rn, hr::DOUBLE AS hr, hr::DOUBLE AS hi,
+        tau::DOUBLE AS tau, staged FROM made)"""
+
+
+def _within_family(metrics: str, select: str) -> str:
+    """Selection stages over ``metrics``; ``select`` reads the ranked table ``s4``."""
+    return with_recursive(
+        metrics,
+        f""", pb AS (SELECT m.*, b AS friction_budget FROM metrics m, (VALUES {', '.join(f'({b}::DOUBLE)' for b in BUDGETS)}) t(b)
+          WHERE benign_friction <= b),
+        s1 AS (SELECT *, min(malicious_allow) OVER (PARTITION BY friction_budget, family) AS ba FROM pb),
+        s2 AS (SELECT *, max(episode_coverage) OVER (PARTITION BY friction_budget, family) AS bc FROM s1 WHERE malicious_allow <= ba + 0.02),
+        s3 AS (SELECT *, min(median_capped_delay_s) OVER (PARTITION BY friction_budget, family) AS bd FROM s2
+          WHERE episode_coverage >= bc - 0.05),
+        s4 AS (SELECT *, row_number() OVER (PARTITION BY friction_budget, family ORDER BY transitions_per_minute, malicious_allow,
+          malicious_not_isolated, benign_friction, candidate) AS rk FROM s3 WHERE median_capped_delay_s <= bd + {EPOCH})
+        {select}""",
+    )
+
+
+_WITHIN = f"""SELECT friction_budget, family, candidate, {', '.join(r6(v) for v in _VALUES)}, {r6('ba', 'best_family_malicious_allow')},
+          {r6('bc', 'best_security_set_episode_coverage')} FROM s4 WHERE rk = 1"""
+
+
+def _selected(metrics: DataFrame) -> DataFrame:
+    out = sel.within_family(metrics, BUDGETS, delay_margin_s=EPOCH)
+    best = ("best_family_malicious_allow", "best_security_set_episode_coverage")
+    return out.select("friction_budget", C.FAMILY, C.CANDIDATE, *_VALUES, *best)
+
+
+@query("broad_search", _within_family(f"{sql.trace(_BROAD, where=TUNE)}, {sql.candidate_metrics(DELAY_CAP_S)}", _WITHIN))
 def broad_search(s: Study):
     """Metrics of every candidate of the broad grid over all threshold pairs, then within-family selection."""
     tune = s.split("controller_tune")
     specs = cal.broad_grid(cal.threshold_pairs(tune), EPOCH)
-    return sel.within_family(cal.candidate_metrics(tune, specs, delay_cap_s=DELAY_CAP_S), BUDGETS, delay_margin_s=EPOCH)
+    return _selected(cal.candidate_metrics(tune, specs, delay_cap_s=DELAY_CAP_S))
 
 
 @query("bisection_calibration")
@@ -217,26 +265,9 @@ def bisection_calibration(s: Study):
 # -- selection ------------------------------------------------------------------------------
 
 
-@query(
-    "within_family_selection",
-    with_recursive(
-        _METRICS,
-        f""", pb AS (SELECT m.*, b AS friction_budget FROM metrics m, (VALUES {', '.join(f'({b}::DOUBLE)' for b in BUDGETS)}) t(b)
-          WHERE benign_friction <= b),
-        s1 AS (SELECT *, min(malicious_allow) OVER (PARTITION BY friction_budget, family) AS ba FROM pb),
-        s2 AS (SELECT *, max(episode_coverage) OVER (PARTITION BY friction_budget, family) AS bc FROM s1 WHERE malicious_allow <= ba + 0.02),
-        s3 AS (SELECT *, min(median_capped_delay_s) OVER (PARTITION BY friction_budget, family) AS bd FROM s2
-          WHERE episode_coverage >= bc - 0.05),
-        s4 AS (SELECT *, row_number() OVER (PARTITION BY friction_budget, family ORDER BY transitions_per_minute, malicious_allow,
-          malicious_not_isolated, benign_friction, candidate) AS rk FROM s3 WHERE median_capped_delay_s <= bd + {EPOCH})
-        SELECT friction_budget, family, candidate, {', '.join(r6(v) for v in _VALUES)}, {r6('ba', 'best_family_malicious_allow')},
-          {r6('bc', 'best_security_set_episode_coverage')} FROM s4 WHERE rk = 1""",
-    ),
-)
+@query("within_family_selection", _within_family(_METRICS, _WITHIN))
 def within_family_selection(s: Study):
-    out = sel.within_family(tune_metrics(s), BUDGETS, delay_margin_s=EPOCH)
-    best = ("best_family_malicious_allow", "best_security_set_episode_coverage")
-    return out.select("friction_budget", C.FAMILY, C.CANDIDATE, *_VALUES, *best)
+    return _selected(tune_metrics(s))
 
 
 _DECLARED = (

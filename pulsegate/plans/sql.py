@@ -79,10 +79,15 @@ epochs AS MATERIALIZED (
         FROM prepared GROUP BY ALL))"""
 
 
-def trace(specs: Sequence[CandidateSpec] = LOCKED, rule: TraceRule = RULE, source: str = "epochs", where: str = "true") -> str:
-    """Long action table from a recursive controller that walks every lease report by report."""
+def trace(
+    specs: Sequence[CandidateSpec] | str = LOCKED, rule: TraceRule = RULE, source: str = "epochs", where: str = "true"
+) -> str:
+    """Long action table from a recursive controller that walks every lease report by report.
+
+    ``specs`` may be SQL that ends in a table ``cand`` like the one of :func:`values`.
+    """
     return f"""{epochs(rule)},
-{values(specs)},
+{specs if isinstance(specs, str) else values(specs)},
 seq AS MATERIALIZED (
   SELECT *, row_number() OVER (PARTITION BY rnti_lease_id ORDER BY decision_time_s) AS pos,
          lag(is_attack_epoch) OVER (PARTITION BY rnti_lease_id ORDER BY decision_time_s) AS prev_attack

@@ -11,8 +11,6 @@ from pulsegate.columns import ROW
 from pulsegate.functions.ordered import row_index
 from pulsegate.schema import CSV_SEPARATOR, TRACE_COLUMNS, TraceError, trace_schema
 
-_PLACE = ["__file", "__offset", "__local"]
-
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
     """Column names of the first line of the trace."""
@@ -30,9 +28,9 @@ def scan_trace(
 ) -> DataFrame:
     """Lazy, schema-checked scan; ragged or mistyped lines fail the job.
 
-    Rows carry their source position (file, split offset, position in split) until
-    :func:`with_source_row` turns it into a dense index; most stages need only an
-    order-preserving tie-break, which ``_source_row`` already is.
+    ``_source_row`` is the source position ``(file, split offset, position in split)``, a struct that
+    orders rows as the files do by path, however Spark packs them into tasks.  Stages need no more than
+    this order; :func:`with_source_row` turns it into a dense index.
     """
     reader = (
         spark.read.schema(trace_schema(schema_columns))
@@ -41,16 +39,15 @@ def scan_trace(
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
     )
-    df = reader.csv(path).withColumn(ROW, F.monotonically_increasing_id())
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("offset"),
+        F.monotonically_increasing_id().alias("local"),
+    )
+    df = reader.csv(path).withColumn(ROW, place)
     return df.select(*columns, ROW) if columns else df
 
 
 def with_source_row(df: DataFrame) -> DataFrame:
     """Replace ``_source_row`` by a dense zero-based index in source order."""
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias(_PLACE[0]),
-        F.col("_metadata.file_block_start").alias(_PLACE[1]),
-        F.col(ROW).alias(_PLACE[2]),
-    ).drop(ROW)
-    return row_index(placed, _PLACE, ROW).drop(*_PLACE)
+    return row_index(df.withColumnRenamed(ROW, "__place"), ["__place"], ROW).drop("__place")

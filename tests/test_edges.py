@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,11 +10,13 @@ from pulsegate import columns as C
 from pulsegate.config import TraceRule
 from pulsegate.functions.ordered import neighbours, running_totals
 from pulsegate.functions.quantiles import exact_quantiles
+from pulsegate.operators.audit import time_reversals
 from pulsegate.operators.contributions import attach_cluster, roll_up_episodes
-from pulsegate.operators.controllers import oversized_leases
+from pulsegate.operators.controllers import ewma_evidence, oversized_leases
 from pulsegate.operators.episodes import ISLAND, mark_report_islands
 from pulsegate.operators.metrics import hold_durations
 from pulsegate.operators.epochs import sweep_leases
+from pulsegate.sources.trace_csv import scan_trace, with_source_row
 
 
 def null_keys(spark):
@@ -70,3 +73,35 @@ def test_sweep_ids_keep_fractions(spark):
     kinds = f"{C.BLOCK} long, {C.SUBJECT} long, {C.EPOCH_START} double, {C.DECISION_TIME} double, first_event_time_s double, last_event_time_s double"
     df = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.0, 0.5)], kinds)
     assert len({r[C.LEASE] for r in sweep_leases(df, [1.2, 1.5]).collect()}) == 2
+
+
+def test_source_order_follows_paths_not_task_packing(spark, tmp_path):
+    # Later files are larger: Spark packs those first.
+    at = 0
+    for number, size in enumerate((2, 40, 900)):
+        lines = ["mac_rnti;timestamp"]
+        for _ in range(size):
+            lines.append(f"7;{at}.0")
+            at += 1
+        (tmp_path / f"part-{number}.csv").write_text("\n".join(lines) + "\n")
+    rows = scan_trace(spark, str(tmp_path), schema_columns=["mac_rnti", "timestamp"])
+    timed = rows.withColumn("t", F.col("timestamp").cast("double"))
+    assert time_reversals(timed, "t").first()[0] == 0
+    assert time_reversals(timed.withColumn("t", -F.col("t")), "t", chunk_rows=7).first()[0] == at - 1
+    numbered = with_source_row(timed).orderBy(C.ROW).select("t").collect()
+    assert [r["t"] for r in numbered] == sorted(r["t"] for r in numbered) and len(numbered) == at
+
+
+def test_ewma_window_over_many_time_constants(spark):
+    rng = np.random.default_rng(3)
+    steps = np.where(rng.random(900) < 0.01, 400.0, 1.0)
+    rows = [(0, 1, "L", float(t), None if i % 17 == 5 else float(rng.random())) for i, t in enumerate(np.cumsum(steps))]
+    df = spark.createDataFrame(rows, f"{C.BLOCK} long, {C.SUBJECT} long, {C.LEASE} string, {C.DECISION_TIME} double, {C.SCORE} double")
+    got = {r[C.DECISION_TIME]: r["evidence"] for r in ewma_evidence(df, 0.5, C.SCORE, [C.DECISION_TIME]).collect()}
+    held, last = None, None
+    for _, _, _, t, x in rows:
+        if x is None:
+            assert got[t] is None
+            continue
+        held, last = (x if held is None else held + -np.expm1(-(t - last) / 0.5) * (x - held)), t
+        assert got[t] == pytest.approx(held, rel=1e-9)
