@@ -112,7 +112,7 @@ def build_manifest(
     splits: SplitRule,
     ontology: Ontology,
     source_path: str | None = None,
-    source_sha256: str | None = None,
+    source_fingerprint: str | None = None,
     allow_empty_splits: bool = False,
 ) -> dict[str, Any]:
     """JSON document describing the split.
@@ -132,7 +132,7 @@ def build_manifest(
     return {
         "manifest_version": 1,
         "source_path": source_path,
-        "source_sha256": source_sha256,
+        "source_fingerprint": source_fingerprint,
         "csv_separator": ";",
         **asdict(rule),
         "boundary_policy": "a block crossing a cut moves to the later split",

@@ -103,7 +103,7 @@ def stage_manifest(w: Workspace) -> dict[str, Any]:
     """Assign whole blocks to splits and describe the assignment."""
     tables.refuse_overwrite(w.path("split_manifest.json"), w.source)
     rows = segment_blocks(correct_chronology(w.raw(), w.rule), w.rule)
-    digest = tables.file_digest(w.source) if os.path.isfile(w.source) else None
+    digest = tables.source_fingerprint(w.spark, w.source)
     found = splits.build_manifest(rows, w.rule, w.splits, w.ontology, w.source, digest, allow_empty_splits=True)
     return w.document("split_manifest", found)
 
@@ -301,9 +301,8 @@ def stage_report(w: Workspace) -> dict[str, Any]:
     out = {"heldout": reports.heldout_table(w.read("aggregate_metrics"), w.read("episode_summary"))}
     out["seen_unseen"] = reports.seen_unseen_table(w.read("stratified_metrics"))
     out["frontier"] = reports.frontier_table(w.read("strict_selection"), w.read("stateless_references"))
-    if os.path.isdir(w.path("lease_action.parquet")):
-        lease = reports.lease_timeout_table(w.read("lease_action"), w.read("lease_episodes"))
-        out |= {"lease_timeouts": lease, "lease_contrast": reports.timeout_contrast(lease)}
+    lease = reports.lease_timeout_table(w.read("lease_action"), w.read("lease_episodes"))
+    out |= {"lease_timeouts": lease, "lease_contrast": reports.timeout_contrast(lease)}
     digests = {}
     for name, df in out.items():
         tables.write_report_csv(df, w.path(f"table_{name}.csv"))

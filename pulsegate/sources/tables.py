@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, is_dataclass
 from decimal import Decimal
@@ -121,30 +120,26 @@ def json_ready(value: Any) -> Any:
 
 
 def write_json(path: str, payload: Any) -> str:
-    """Small driver document, replaced atomically."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, staged = tempfile.mkstemp(dir=folder, suffix=".tmp")
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
-        json.dump(json_ready(payload), out, indent=2, sort_keys=True, allow_nan=False)
-    os.replace(staged, path)
+    """Small document as a one-row text table, on whatever store Spark writes to."""
+    text = json.dumps(json_ready(payload), indent=2, sort_keys=True, allow_nan=False)
+    row = SparkSession.active().createDataFrame([(text,)], "value string")
+    row.coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
 def read_json(path: str) -> dict[str, Any]:
-    with open(path, encoding="utf-8") as src:
-        payload = json.load(src)
+    """A document of :func:`write_json`, or a plain JSON file; a missing one fails."""
+    parts = SparkSession.active().read.text(path, wholetext=True).collect()
+    payload = json.loads(parts[0][0]) if len(parts) == 1 else None
     if not isinstance(payload, dict):
         raise TraceError(f"expected a JSON object: {path}")
     return payload
 
 
-def file_digest(path: str, chunk: int = 1 << 23) -> str:
-    digest = hashlib.sha256()
-    with open(path, "rb") as src:
-        while data := src.read(chunk):
-            digest.update(data)
-    return digest.hexdigest()
+def source_fingerprint(spark: SparkSession, path: str) -> str:
+    """Fingerprint of all lines of a file or folder, computed where the data is."""
+    found = table_digest(spark.read.text(path)).first()
+    return hashlib.sha256(":".join(str(v) for v in found).encode()).hexdigest()
 
 
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
