@@ -12,6 +12,7 @@ import statistics
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -303,6 +304,9 @@ def stage_report(w: Workspace) -> dict[str, Any]:
     out["frontier"] = reports.frontier_table(w.read("strict_selection"), w.read("stateless_references"))
     lease = reports.lease_timeout_table(w.read("lease_action"), w.read("lease_episodes"))
     out |= {"lease_timeouts": lease, "lease_contrast": reports.timeout_contrast(lease)}
+    streams = {C.ANY_ATTACK: "intervals", **{a: Ontology.slug(a) for a in w.ontology.attacks}}
+    found = [w.read(f"inference_{tag}").withColumn("attack_type", F.lit(a)) for a, tag in streams.items()]
+    out["robustness"] = reduce(DataFrame.unionByName, found)
     digests = {}
     for name, df in out.items():
         tables.write_report_csv(df, w.path(f"table_{name}.csv"))
