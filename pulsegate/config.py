@@ -21,6 +21,7 @@ def _positive(name: str, value: float) -> None:
         raise ValueError(f"{name} must be finite and positive")
 
 
+# The defaults are part of the parameter contract.
 @dataclass(frozen=True)
 class TraceRule:
     """How a timeline is cut into blocks, leases and epochs."""
@@ -231,6 +232,7 @@ class SpecLock:
         return tuple(CandidateSpec(**row) for row in json.loads(self.canonical_json))
 
 
+# The defaults are part of the parameter contract.
 @dataclass(frozen=True)
 class SelectionTolerances:
     """Margins of the cascade selection rule."""
@@ -250,6 +252,7 @@ class SelectionTolerances:
                 raise ValueError(f"{name} is out of range")
 
 
+# The defaults are part of the parameter contract.
 @dataclass(frozen=True)
 class GroupingRule:
     """Label-blind thresholds of the block grouping candidates."""
