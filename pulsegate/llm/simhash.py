@@ -21,7 +21,7 @@ from itertools import accumulate
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import annotate, raw
@@ -152,18 +152,19 @@ def groups(rows: DataFrame, radius: int = RADIUS, in_task: int = IN_TASK) -> Dat
     return out.withColumns({"component_id": F.coalesce("component_id", "doc_id"), "root": F.coalesce("root", "fp")})
 
 
+def _row_key(doc_id: Column, sha: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(sha, F.lit("")))
+
+
 def deduplicate(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One document of each group: the least doc_id, NULLs last, then the least SHA-256 of its text; columns as in ``docs``."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("__sha"), text)
     rows = durable(fingerprints(keyed, ["doc_id", "__sha"], text))
     named = groups(rows, radius)
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("doc_id"), F.col("__sha").alias("sha"))
-    kept = named.groupBy("root").agg(F.min(order).alias("k")).select(
-        F.col("k.doc_id").alias("__id"), F.coalesce("k.sha", F.lit("")).alias("__key")
-    )
-    key = F.coalesce(F.sha2(text, 256), F.lit(""))
-    own = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_key": key})
-    match = F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_key") == F.col("__key"))
-    first = own.join(kept, match, "left_semi")
+    kept = named.groupBy("root").agg(F.min(order).alias("k")).select(_row_key(F.col("k.doc_id"), F.col("k.sha")).alias("__row_key"))
+    # One key for the join and for repeated rows, so that texts are shuffled and sorted once.
+    own = docs.withColumn("__row_key", _row_key(F.col("doc_id").cast("long"), F.sha2(text, 256)))
+    first = own.join(kept, "__row_key", "left_semi")
     # Repeated rows share id and text: any one of them stays, they differ at most in other columns.
-    return first.dropDuplicates(["__row_id", "__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return first.dropDuplicates(["__row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
