@@ -77,8 +77,9 @@ def _pick(table_values: dict[str, str]) -> str:
 
 _ACTION_PICK = _pick({n: n for n in _PAIRS} | {"effective_transition_count": "effective_transitions"})
 _ATTACK_PICK = _pick({n: n for n in contrib.ATTACK_VALUES})
-_DRAWS = f"""uni AS (SELECT trace_block_id, row_number() OVER (ORDER BY CAST(trace_block_id AS VARCHAR)) - 1 AS idx
-    FROM (SELECT DISTINCT trace_block_id FROM epochs)),
+def _draws(cluster: str = "trace_block_id", among: str = "true") -> str:
+    return f"""uni AS (SELECT trace_block_id, row_number() OVER (ORDER BY CAST(trace_block_id AS VARCHAR)) - 1 AS idx
+    FROM (SELECT DISTINCT {cluster} AS trace_block_id FROM epochs WHERE {among})),
 nb AS (SELECT count(*) AS n FROM uni),
 draws AS (SELECT r.range AS replicate, ('0x' || substr(md5('{SEED}:' || r.range || ':' || s.slot), 1, 8))::UBIGINT % n AS idx
     FROM range({REPLICATES}) r, (SELECT unnest(range(n)) AS slot, n FROM nb) s)"""
@@ -90,34 +91,60 @@ def _contrast_sql(p: str, r: str, c: boot.Contrast) -> str:
     return f"CASE WHEN r_{c.numerator} > 0 THEN ({a}) / ({b}) END" if c.kind == "rate_ratio" else f"({a}) - ({b})"
 
 
-def boot_ctes(contrasts=boot.PRIMARY_CONTRASTS, attack: str = "__any_attack__") -> str:
+def _undefined_sql(c: boot.Contrast) -> str:
+    empty = f"coalesce(p_{c.denominator}, 0) <= 0 OR coalesce(r_{c.denominator}, 0) <= 0"
+    if c.kind != "rate_ratio":
+        return f"CASE WHEN {empty} THEN 'undefined_zero_aggregate_denominator' END"
+    return f"""CASE WHEN {empty} THEN 'undefined_zero_observed_time'
+        WHEN r_{c.numerator} <= 0 THEN 'undefined_zero_reference_transition_rate' END"""
+
+
+def status_sql(valid: str, undefined: str = "NULL") -> str:
+    """Status of an interval from its counts."""
+    return f"CASE WHEN {undefined} IS NOT NULL THEN {undefined} WHEN {valid} < {max(100, -(-REPLICATES // 2))} THEN 'insufficient_valid_replicates' ELSE 'ok' END"
+
+
+def boot_ctes(
+    contrasts=boot.PRIMARY_CONTRASTS,
+    attack: str = "__any_attack__",
+    cluster: str = "trace_block_id",
+    among: str = "true",
+    trace: str = "trace",
+    before: str | None = None,
+) -> str:
+    """CTEs up to ``iv``, one row per contrast; blocks may be coarsened, ``trace`` and the attack tables ``before`` it replaced."""
     names = sorted({f"{t}_{v}" for c in contrasts for v in (c.numerator, c.denominator) for t in "pr"})
     sums = ", ".join(f"sum({n}) AS {n}" for n in names)
     unions = " UNION ALL ".join(
         f"SELECT replicate, '{c.metric}' AS metric, {_contrast_sql('p', 'r', c)} AS value FROM rs" for c in contrasts
     )
     points = " UNION ALL ".join(
-        f"SELECT '{c.metric}' AS metric, '{c.direction}' AS gate_direction, {_contrast_sql('p', 'r', c)} AS estimate FROM tot"
+        f"SELECT '{c.metric}' AS metric, '{c.direction}' AS gate_direction, {_contrast_sql('p', 'r', c)} AS estimate, {_undefined_sql(c)} AS undefined FROM tot"
         for c in contrasts
     )
-    return f"""{_attack_ctes(DAILY)}, {_DRAWS},
-ga AS (SELECT trace_block_id, {_ACTION_PICK} FROM (SELECT candidate, family, trace_block_id, {sql.ACTION_SUMS} FROM trace GROUP BY ALL) q
+    return f"""{before or _attack_ctes(DAILY)}, {_draws(cluster, among)},
+ga AS (SELECT {cluster} AS trace_block_id, {_ACTION_PICK} FROM (SELECT candidate, family, trace_block_id, {sql.ACTION_SUMS} FROM {trace} GROUP BY ALL) q
     GROUP BY 1),
-gt AS (SELECT trace_block_id, {_ATTACK_PICK} FROM ab WHERE attack_type = '{attack}' GROUP BY 1),
-gx AS (SELECT trace_block_id, {_pick({n: n for n in ('exposed_time_s', 'attack_time_s')})} FROM ab WHERE attack_type = '{attack}' GROUP BY 1),
+gt AS (SELECT {cluster} AS trace_block_id, {_ATTACK_PICK} FROM ab WHERE attack_type = '{attack}' GROUP BY 1),
+gx AS (SELECT {cluster} AS trace_block_id, {_pick({n: n for n in ('exposed_time_s', 'attack_time_s')})} FROM ab WHERE attack_type = '{attack}' GROUP BY 1),
 grid AS MATERIALIZED (SELECT * FROM uni LEFT JOIN ga USING (trace_block_id) LEFT JOIN gt USING (trace_block_id)),
 xgrid AS MATERIALIZED (SELECT * FROM uni LEFT JOIN gx USING (trace_block_id)),
+tgrid AS MATERIALIZED (SELECT * FROM xgrid LEFT JOIN gt USING (trace_block_id)),
 rs AS (SELECT replicate, {sums} FROM draws JOIN {{grid}} USING (idx) GROUP BY 1),
 tot AS (SELECT {sums} FROM {{grid}}),
 dv AS MATERIALIZED ({unions}),
 pt AS ({points}),
-iv AS (SELECT metric, any_value(gate_direction) AS gate_direction, any_value(estimate) AS estimate, count(value) AS valid_replicates,
-    quantile_cont(value, 0.025) AS ci_lower, quantile_cont(value, 0.975) AS ci_upper, quantile_cont(value, 0.05) AS one_sided_lower,
-    quantile_cont(value, 0.95) AS one_sided_upper FROM pt LEFT JOIN dv USING (metric) GROUP BY metric)"""
+qv AS (SELECT metric, any_value(gate_direction) AS gate_direction, any_value(estimate) AS estimate, any_value(undefined) AS undefined,
+    count(value) AS valid_replicates, quantile_cont(value, 0.025) AS q1, quantile_cont(value, 0.975) AS q2, quantile_cont(value, 0.05) AS q3,
+    quantile_cont(value, 0.95) AS q4 FROM pt LEFT JOIN dv USING (metric) GROUP BY metric),
+iv AS (SELECT metric, gate_direction, CASE WHEN undefined IS NULL THEN estimate END AS estimate, valid_replicates, status,
+    CASE WHEN status = 'ok' THEN q1 END AS ci_lower, CASE WHEN status = 'ok' THEN q2 END AS ci_upper,
+    CASE WHEN status = 'ok' THEN q3 END AS one_sided_lower, CASE WHEN status = 'ok' THEN q4 END AS one_sided_upper
+    FROM (SELECT *, {status_sql("valid_replicates", "undefined")} AS status FROM qv))"""
 
 
 _BOOT = boot_ctes().replace("{grid}", "grid")
-_IV_VIEW = "metric, gate_direction, valid_replicates, 'ok' AS status, " + ", ".join(
+_IV_VIEW = "metric, gate_direction, valid_replicates, status, " + ", ".join(
     r6(c) for c in ("estimate", "ci_lower", "ci_upper", "one_sided_lower", "one_sided_upper")
 )
 _END = "CASE gate_direction WHEN 'upper' THEN one_sided_upper ELSE one_sided_lower END"
@@ -210,17 +237,16 @@ def single_friction(s: Study) -> DataFrame:
     return boot.intervals(boot.contrast_estimates(grid, [contrast]), draws, REPLICATES)
 
 
-@query(
-    "boot_single_friction",
-    with_recursive(
-        _BOOT,
-        f"""SELECT 'benign_friction' AS metric, 'upper' AS gate_direction, count(v) AS valid_replicates, 'ok' AS status,
-        {r6('(SELECT p_benign_contained_time_s / p_benign_time_s FROM tot)', 'estimate')}, {r6('quantile_cont(v, 0.025)', 'ci_lower')},
-        {r6('quantile_cont(v, 0.975)', 'ci_upper')}, {r6('quantile_cont(v, 0.05)', 'one_sided_lower')},
-        {r6('quantile_cont(v, 0.95)', 'one_sided_upper')} FROM (SELECT p_benign_contained_time_s / nullif(p_benign_time_s, 0) AS v FROM rs)""",
-    ),
-    rule=DAILY,
+_SINGLE_SQL = with_recursive(
+    _BOOT,
+    f"""SELECT 'benign_friction' AS metric, 'upper' AS gate_direction, count(v) AS valid_replicates, {status_sql('count(v)')} AS status,
+    {r6('(SELECT p_benign_contained_time_s / p_benign_time_s FROM tot)', 'estimate')}, {r6('quantile_cont(v, 0.025)', 'ci_lower')},
+    {r6('quantile_cont(v, 0.975)', 'ci_upper')}, {r6('quantile_cont(v, 0.05)', 'one_sided_lower')},
+    {r6('quantile_cont(v, 0.95)', 'one_sided_upper')} FROM (SELECT p_benign_contained_time_s / nullif(p_benign_time_s, 0) AS v FROM rs)""",
 )
+
+
+@query("boot_single_friction", _SINGLE_SQL, rule=DAILY)
 def boot_single_friction(s: Study):
     return _interval_view(single_friction(s))
 
@@ -258,24 +284,23 @@ def median_delay(s: Study) -> tuple[DataFrame, DataFrame]:
     return boot.median_delay_estimate(pairs), draws
 
 
-_MEDIAN = f"""{sql.trace(rule=DAILY)}, {sql.epoch_episodes(DELAY_CAP_S)}, {_DRAWS},
+_MEDIAN = f"""{sql.trace(rule=DAILY)}, {sql.epoch_episodes(DELAY_CAP_S)}, {_draws()},
 e2 AS (SELECT onset_block_id AS trace_block_id, candidate, capped_delay_s AS d FROM episodes
     WHERE attack_type = '__any_attack__' AND candidate IN ('{PROPOSED}', '{REFERENCE}')),
 rep AS (SELECT replicate, candidate, median(d) AS m FROM draws JOIN uni USING (idx) JOIN e2 USING (trace_block_id) GROUP BY 1, 2),
 dm AS (SELECT replicate, max(m) FILTER (candidate = '{PROPOSED}') - max(m) FILTER (candidate = '{REFERENCE}') AS value FROM rep GROUP BY 1)"""
 
 
-@query(
-    "boot_median_delay",
-    with_recursive(
-        _MEDIAN,
-        f"""SELECT 'median_capped_delay_difference_s' AS metric, 'upper' AS gate_direction, count(value) AS valid_replicates, 'ok' AS status,
-        (SELECT {r6(f"median(d) FILTER (candidate = '{PROPOSED}') - median(d) FILTER (candidate = '{REFERENCE}')", 'x')} FROM e2) AS estimate,
-        {r6('quantile_cont(value, 0.025)', 'ci_lower')}, {r6('quantile_cont(value, 0.975)', 'ci_upper')},
-        {r6('quantile_cont(value, 0.05)', 'one_sided_lower')}, {r6('quantile_cont(value, 0.95)', 'one_sided_upper')} FROM dm""",
-    ),
-    rule=DAILY,
+_MEDIAN_SQL = with_recursive(
+    _MEDIAN,
+    f"""SELECT 'median_capped_delay_difference_s' AS metric, 'upper' AS gate_direction, count(value) AS valid_replicates, {status_sql('count(value)')} AS status,
+    (SELECT {r6(f"median(d) FILTER (candidate = '{PROPOSED}') - median(d) FILTER (candidate = '{REFERENCE}')", 'x')} FROM e2) AS estimate,
+    {r6('quantile_cont(value, 0.025)', 'ci_lower')}, {r6('quantile_cont(value, 0.975)', 'ci_upper')},
+    {r6('quantile_cont(value, 0.05)', 'one_sided_lower')}, {r6('quantile_cont(value, 0.95)', 'one_sided_upper')} FROM dm""",
 )
+
+
+@query("boot_median_delay", _MEDIAN_SQL, rule=DAILY)
 def boot_median_delay(s: Study):
     return _interval_view(boot.intervals(*median_delay(s), REPLICATES))
 
@@ -359,14 +384,39 @@ def per_attack_bounds(s: Study, attack: str) -> DataFrame:
     values = ("exposed_time_s", "attack_time_s", *contrib.ATTACK_VALUES)
     grid = contrib.paired_grid(attack_contributions(s), blocks, PROPOSED, REFERENCE, values, attack)
     grid = grid.join(blocks, C.BLOCK).persist()
-    named = {c.metric: c for c in boot.PRIMARY_CONTRASTS}
-    contrasts = (boot.CLASS_EXPOSURE, named["episode_coverage_difference"], named["mean_capped_delay_difference_s"])
-    draws = boot.contrast_draws(grid, draws_for(s, blocks), contrasts)
-    out = boot.intervals(boot.contrast_estimates(grid, contrasts), draws, REPLICATES)
+    draws = boot.contrast_draws(grid, draws_for(s, blocks), PER_ATTACK)
+    out = boot.intervals(boot.contrast_estimates(grid, PER_ATTACK), draws, REPLICATES)
     return out.withColumn("attack_type", F.lit(attack))
 
 
-@query("per_attack_table", rule=DAILY)
+PER_ATTACK = (boot.CLASS_EXPOSURE, *(c for c in boot.PRIMARY_CONTRASTS if c.metric in ("episode_coverage_difference", "mean_capped_delay_difference_s")))
+
+
+def _per_attack_sql(order: int, attack: str) -> str:
+    def point(expr: str, scale: float, name: str) -> str:
+        both = (("proposal", PROPOSED), ("reference", REFERENCE))
+        return ", ".join(
+            r6(f"(SELECT {scale} * {expr} FROM episodes WHERE attack_type = '{attack}' AND candidate = '{who}')", f"{side}_{name}")
+            for side, who in both
+        )
+
+    def bounds(metric: str, scale: float, name: str, unit: str, estimate: str) -> str:
+        ends = {"estimate": estimate, "ci_lower": f"{name}_ci_lower_{unit}", "ci_upper": f"{name}_ci_upper_{unit}"}
+        return ", ".join(r6(f"max({scale} * {e}) FILTER (metric = '{metric}')", alias) for e, alias in ends.items())
+
+    return "SELECT * FROM (" + with_recursive(
+        boot_ctes(PER_ATTACK, attack).replace("{grid}", "tgrid"),
+        f"""SELECT {order} AS attack_order, '{attack}' AS attack_type, {str(attack == "purchase").lower()} AS known_failure_mode,
+        (SELECT count(*) FROM episodes WHERE attack_type = '{attack}' AND candidate = '{PROPOSED}') AS episodes,
+        {point("sum(exposed_time_s) / sum(attack_time_s)", 100.0, "exposure_pct")}, {point("avg(covered::INT)", 100.0, "coverage_pct")},
+        {point("avg(capped_delay_s)", 1.0, "mean_capped_delay_s")},
+        {bounds("attack_exposure_difference", 100.0, "exposure", "pp", "exposure_difference_pp")},
+        {bounds("episode_coverage_difference", 100.0, "coverage", "pp", "coverage_difference_pp")},
+        {bounds("mean_capped_delay_difference_s", 1.0, "mean_delay", "s", "mean_delay_difference_s")} FROM iv""",
+    ) + ")"
+
+
+@query("per_attack_table", " UNION ALL ".join(_per_attack_sql(i, a) for i, a in enumerate(ATTACK_TYPES)), rule=DAILY)
 def per_attack_table(s: Study):
     bounds = per_attack_bounds(s, "error").unionByName(per_attack_bounds(s, "purchase"))
     summary = episode_summary(s.episodes)
@@ -434,7 +484,23 @@ def frontier_table(s: Study):
     return reports.frontier_table(cascade_selection(declared_metrics(s), refs, TOLERANCES), refs)
 
 
-@query("robustness_table", rule=DAILY)
+_PARTS_SQL = {
+    "primary blocks": with_recursive(_BOOT, f"SELECT {_IV_VIEW} FROM iv"),
+    "error exposure": with_recursive(
+        boot_ctes((boot.CLASS_EXPOSURE,), "error").replace("{grid}", "xgrid"), f"SELECT {_IV_VIEW} FROM iv"
+    ),
+    "proposed friction": _SINGLE_SQL,
+    "median delay": _MEDIAN_SQL,
+}
+
+
+@query(
+    "robustness_table",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS analysis, metric, estimate, ci_lower, ci_upper, status FROM ({part})" for name, part in _PARTS_SQL.items()
+    ),
+    rule=DAILY,
+)
 def robustness_table(s: Study):
     """Primary, class-wise and single-policy contrasts stacked by analysis name."""
     keep = ("metric", "estimate", "ci_lower", "ci_upper", "status")
