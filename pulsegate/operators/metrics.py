@@ -196,13 +196,15 @@ def action_metrics(
     ).drop("attack_allowed_time_s", "attack_not_isolated_time_s")
 
 
-def stratified_metrics(trace: DataFrame, strata: dict[str, Column]) -> DataFrame:
+def stratified_metrics(trace: DataFrame, strata: dict[str, Column], named: Sequence[Column] = ()) -> DataFrame:
     """Action metrics per named stratum; a row may belong to several.
 
+    ``strata`` has a condition per name; a column of ``named`` names a stratum itself (NULL: none).
     Stratum names are exploded per row, so all strata share one scan and one aggregate.
     Strata without both benign and attack time are left out.
     """
-    names = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond in strata.items()])
+    conditions = [F.when(F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond in strata.items()]
+    names = F.array(*conditions, *named)
     tagged = trace.withColumn("stratum", F.explode(F.filter(names, lambda x: x.isNotNull())))
     out = action_metrics(tagged, ["stratum", *BY_CANDIDATE])
     return out.where((F.col("benign_time_s") > 0) & (F.col("attack_time_s") > 0))
@@ -215,6 +217,11 @@ def novelty_strata(trace: DataFrame) -> dict[str, Column]:
     return strata | {"exclude_mixed_labels": ~F.col("mixed_label_epoch")}
 
 
+def mobility_stratum(pattern: str = "mob_pattern") -> Column:
+    """Stratum of the mobility pattern, named from the data; NULL patterns have none."""
+    return F.concat(F.lit("mobility_"), F.col(pattern))
+
+
 def access_metrics(
     trace: DataFrame,
     by: Sequence[str] = BY_CANDIDATE,

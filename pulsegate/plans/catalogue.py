@@ -6,6 +6,7 @@ from pulsegate.plans import (  # noqa: F401
     queries_prepare,
     queries_replay,
     queries_select,
+    queries_sensitivity,
 )
 from pulsegate.plans.registry import QUERIES
 
