@@ -265,10 +265,11 @@ def median_delay_estimate(pairs: DataFrame) -> DataFrame:
         )
     )
     counts = pairs.select(F.lit(0).alias("all"), sides).groupBy("all", "policy", "delay").agg(F.count(F.lit(1)).alias("w"))
-    return _median_difference(counts, ["all"]).select(
+    # A global aggregate: without any episode there is one row, with an undefined estimate.
+    return _median_difference(counts, ["all"]).agg(F.max("value").alias("value")).select(
         F.lit("median_capped_delay_difference_s").alias("metric"),
         F.col("value").alias("estimate"),
-        F.lit(None).cast("string").alias("undefined"),
+        F.when(F.col("value").isNull(), F.lit("undefined_no_episodes")).alias("undefined"),
         F.lit("upper").alias("gate_direction"),
     )
 

@@ -29,19 +29,20 @@ from pulsegate.config import (
     TraceRule,
 )
 from pulsegate.operators import audit, calibration, contributions, grouping, integrity, reports, resampling, selection, splits
-from pulsegate.operators.controllers import action_trace, explode_candidates, replay_arrays, replay_inputs
-from pulsegate.operators.episodes import epoch_episodes, episode_strata, episode_summary, mark_streams
+from pulsegate.operators.controllers import LEASE_KEYS, action_trace, explode_candidates, replay_arrays, replay_inputs
+from pulsegate.operators.episodes import epoch_episodes, episode_strata, episode_summary, mark_streams, point_summary
 from pulsegate.operators.epochs import annotate_labels, attack_columns, lease_epochs, sweep_leases
-from pulsegate.operators.metrics import BY_CANDIDATE, action_metrics, novelty_strata, stratified_metrics
+from pulsegate.operators.metrics import BY_CANDIDATE, action_metrics, mobility_stratum, novelty_strata, stratified_metrics
 from pulsegate.operators.scoring import fit_platt, fit_risk_model, risk_diagnostics, save_model
 from pulsegate.operators.segmentation import correct_chronology, prepare, segment_blocks
 from pulsegate.schema import CONTEXTS, KPI_FEATURES, TRACE_ONTOLOGY, Ontology
 from pulsegate.sources import tables
 from pulsegate.sources.trace_csv import scan_trace
 
-# Seconds of the lease-timeout sweep and of the delay cap.
+# Seconds of the lease-timeout sweep, of the delay cap and of unobserved time an episode bridges.
 LEASE_TIMEOUTS_S = (5.0, 10.0, 30.0, 60.0, 300.0)
 DELAY_CAP_S = 30.0
+EPISODE_GAP_S = 30.0
 ATTACK_GATES = resampling.PRIMARY_GATES[:3] + resampling.PRIMARY_GATES[4:]
 
 
@@ -186,11 +187,12 @@ def stage_confirmatory(w: Workspace) -> dict[str, Any]:
     """Locked evaluation of the held-out split: trace, metrics, episodes, contributions."""
     lock, order = w.lock(), [C.DECISION_TIME]
     test = annotate_labels(w.read("scores").where(F.col(C.SPLIT) == w.splits.evaluation), w.ontology)
-    marked = mark_streams(test, w.ontology, 0.0, order)
+    marked = mark_streams(test, w.ontology, EPISODE_GAP_S, order)
     trace = w.write("action_trace", explode_candidates(replay_arrays(marked, lock.specs, order=order), lock.specs, lock.sha256))
     labels = [(s.candidate, s.family) for s in lock.specs]
     w.write("aggregate_metrics", action_metrics(trace))
-    w.write("stratified_metrics", stratified_metrics(trace, novelty_strata(trace)))
+    mobility = [mobility_stratum()] if "mob_pattern" in trace.columns else []
+    w.write("stratified_metrics", stratified_metrics(trace, novelty_strata(trace), mobility))
     episodes = w.write("attack_episodes", epoch_episodes(trace, delay_cap_s=DELAY_CAP_S))
     w.write("episode_strata", episode_strata(episodes))
     w.write("episode_summary", episode_summary(episodes))
@@ -206,10 +208,17 @@ def _policies(w: Workspace) -> tuple[str, str]:
 
 
 def primary_intervals(w: Workspace, attack: str = C.ANY_ATTACK) -> DataFrame:
-    """Additive, median and single-policy intervals of one attack stream."""
+    """Intervals of one attack stream on the evaluated blocks."""
+    action = w.read("action_contributions")
+    return contrast_intervals(w, action, w.read("attack_contributions"), w.read("attack_episodes"), action, attack)
+
+
+def contrast_intervals(
+    w: Workspace, action: DataFrame, attacks: DataFrame, episodes: DataFrame, blocks: DataFrame, attack: str = C.ANY_ATTACK
+) -> DataFrame:
+    """Additive, median and single-policy intervals; ``blocks`` names the blocks to draw."""
     proposed, reference = _policies(w)
-    action, attacks = w.read("action_contributions"), w.read("attack_contributions")
-    universe = resampling.block_universe(action).persist()
+    universe = resampling.block_universe(blocks).persist()
     n = universe.count()
     draws = resampling.generator_draws(w.spark, w.replicates, n, w.seed)
     left = contributions.paired_grid(action, universe, proposed, reference, contributions.ACTION_VALUES)
@@ -218,7 +227,7 @@ def primary_intervals(w: Workspace, attack: str = C.ANY_ATTACK) -> DataFrame:
     grid = left.drop(*present).join(right.drop(*present), C.BLOCK).join(universe, C.BLOCK).persist()
     values = resampling.contrast_draws(grid, draws)
     additive = resampling.intervals(resampling.contrast_estimates(grid), values, w.replicates)
-    shown = w.read("attack_episodes").where(F.col("attack_type") == attack)
+    shown = episodes.where(F.col("attack_type") == attack)
     pairs = resampling.paired_episodes(shown, proposed, reference).persist()
     median = resampling.intervals(
         resampling.median_delay_estimate(pairs), resampling.median_delay_draws(pairs, universe, draws), w.replicates
@@ -232,12 +241,58 @@ def primary_intervals(w: Workspace, attack: str = C.ANY_ATTACK) -> DataFrame:
     return reports.robustness_table({"additive": additive, "median": median, "friction": friction})
 
 
+# Fixed value: the coarser cluster of the sensitivity analysis.
+SENSITIVITY_CLUSTER = "fixed_3600s_group"
+
+
+def sensitivity_intervals(w: Workspace) -> dict[str, DataFrame]:
+    """Primary intervals under coarser clusters, and on seen and on new entities."""
+    action, attacks, episodes = (w.read(t) for t in ("action_contributions", "attack_contributions", "attack_episodes"))
+    mapping = tables.read_cluster_map(w.spark, w.path("cluster_map.csv"))
+    cluster = SENSITIVITY_CLUSTER
+
+    def rolled(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return contributions.roll_up(table, mapping, cluster, keys).withColumnRenamed(cluster, C.BLOCK)
+
+    coarse = rolled(action, [C.CANDIDATE])
+    moved = contributions.roll_up_episodes(episodes, mapping, cluster)
+    out = {"clusters": contrast_intervals(w, coarse, rolled(attacks, [C.CANDIDATE, "attack_type"]), moved, coarse)}
+    trace = w.read("action_trace")
+    if C.NOVELTY in trace.columns:
+        labels = [(s.candidate, s.family) for s in w.lock().specs]
+        for novelty in ("seen", "unseen"):
+            own = trace.where(F.col(C.NOVELTY) == novelty)
+            found = epoch_episodes(own, delay_cap_s=DELAY_CAP_S)
+            both = contributions.attack_contributions(own, found, labels, w.ontology)
+            out[novelty] = contrast_intervals(w, contributions.action_contributions(own), both, found, action)
+    return out
+
+
+def episode_definitions(w: Workspace) -> DataFrame:
+    """Point summaries under other episode rules; recorded actions stay, only targets and runs change."""
+    trace, keys = w.read("action_trace"), (C.CANDIDATE, *LEASE_KEYS)
+
+    def summary(rows: DataFrame, gap: float, name: str) -> DataFrame:
+        marked = mark_streams(rows, w.ontology, gap, [C.DECISION_TIME], keys)
+        return point_summary(epoch_episodes(marked, delay_cap_s=DELAY_CAP_S)).withColumn("definition", F.lit(name))
+
+    parts = [
+        summary(trace.where(~F.col("mixed_attack_epoch")), EPISODE_GAP_S, "mixed attack epochs excluded"),
+        summary(trace, 0.0, "no unobserved time bridged"),
+        summary(trace, EPISODE_GAP_S, "primary gap"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stage_inference(w: Workspace) -> dict[str, Any]:
-    """Block-bootstrap intervals and gates of the primary and per-attack contrasts."""
+    """Block-bootstrap intervals and gates: primary, per attack, coarser clusters, novelty; other episode definitions."""
     primary = w.write("inference_intervals", primary_intervals(w))
     gates = w.write("inference_gates", resampling.gate_decisions(primary, ATTACK_GATES))
     for name in w.ontology.attacks:
         w.write(f"inference_{Ontology.slug(name)}", primary_intervals(w, name))
+    for name, table in sensitivity_intervals(w).items():
+        w.write(f"inference_{name}", table)
+    w.write("inference_episode_definitions", episode_definitions(w))
     decided = [r.asDict() for r in gates.collect()]
     return w.document("inference", {"primary_gates": decided, "intervals": [r.asDict() for r in primary.collect()]})
 

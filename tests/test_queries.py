@@ -19,7 +19,7 @@ CORE = (
     "novelty_annotation controller_trace hold_until_horizon dwell_weights stratified_metrics candidate_metrics "
     "epoch_episodes_merged episode_grouping_sets attack_block_contributions candidate_group_summary matched_selection "
     "pareto_frontier lease_table_self_join boot_intervals boot_median_delay risk_diagnostics_by_split linear_score "
-    "tumbling_stream session_stream"
+    "tumbling_stream session_stream per_attack_table inference_clusters inference_novelty stratified_mobility"
 ).split()
 NAMES = list(entry.queries()) if os.environ.get("PULSEGATE_ALL_QUERIES") else CORE
 

@@ -79,6 +79,14 @@ def test_every_stage(space):
     assert trace.count() == test.count() * len(w.lock().specs)
     gates = results["inference"]["primary_gates"]
     assert {g["status"] for g in gates} <= {"pass", "fail", "unknown"}
+    for name in ("clusters", "seen", "unseen"):
+        found = {r.metric: r for r in w.read(f"inference_{name}").collect()}
+        assert len(found) == 7 and {r.requested_replicates for r in found.values()} == {w.replicates}
+    rules = w.read("inference_episode_definitions").toPandas().pivot(index="candidate", columns="definition", values="episode_count")
+    assert (rules["no unobserved time bridged"] >= rules["primary gap"]).all()
+    primary = w.read("attack_episodes").where("attack_type = '__any_attack__'").groupBy("candidate").count().toPandas()
+    assert dict(zip(primary["candidate"], primary["count"])) == rules["primary gap"].to_dict()
+    assert w.read("stratified_metrics").where("stratum LIKE 'mobility_%'").select("stratum").distinct().count() > 1
     assert results["lease-sensitivity"]["rows"] == 5 * len(w.lock().specs)
     assert json.dumps(results["report"])
     diagnostics = w.read("risk_diagnostics").where("analysis = 'split'").toPandas().set_index("split")
