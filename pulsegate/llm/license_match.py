@@ -6,6 +6,7 @@ t / (2 - t) x |template| <= |candidate| <= (2 - t) / t x |template| bigrams, so
 every template's bounds are never looked at, and only templates within bounds meet a candidate.
 Templates are parameters of a fixed size and travel as literals, so nothing is shuffled or joined.
 Texts without any of the :func:`anchors`, one of which every match must hold, are passed over.
+Templates of over ``LONG`` bigrams have too many such words: their size bounds alone choose the texts.
 
 Edge cases.  NULL and wordless texts match nothing.  A candidate of one word has no bigrams.
 Equal scores go to the template that sorts first.  Repeated rows are each given back.
@@ -19,44 +20,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public licence notices (texts as published; parameters of the operator).
-TEMPLATES: dict[str, str] = {
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": (
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance'
-        " with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "MIT-line": "Released under the MIT License.",
-    "MIT-licensed": "This project is licensed under the MIT License.",
-    "MIT-grant": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        ' documentation files (the "Software"), to deal in the Software without restriction, including without limitation'
-        " the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and"
-        " to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
-    ),
-    "BSD-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-    "BSD-grant": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
-        " following conditions are met:"
-    ),
-    "GPL-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
-        " License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
-        " later version."
-    ),
-    "MPL-2.0-notice": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
-        " distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
-    ),
-    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC0-line": "To the extent possible under law, the author has waived all copyright to this work (CC0 1.0).",
-    "ISC-grant": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
-        " granted, provided that the above copyright notice and this permission notice appear in all copies."
-    ),
-}
+from pulsegate.llm.license_templates import TEMPLATES
+
 THRESHOLD = 0.8
+LONG = 400
+# Frequent in prose: anchors only if nothing else is left.
+_COMMON = frozenset("a an and any are as be by for from in is it may no not of on or other such that the this to under with without work you".split())
 
 
 def normal_words(text: Column) -> Column:
@@ -85,13 +54,14 @@ def anchors(templates: Mapping[str, str], threshold: float) -> list[str]:
 
     A match holds t / (2 - t) of a template's bigrams or more, so words that touch more than the
     rest of them cannot all be absent; the longest words are taken, as they are rare in prose.
+    Frequent words come last.
     """
     out: set[str] = set()
     for text in templates.values():
         pairs = [tuple(b.split(" ")) for b in template_bigrams(text)]
         spare = len(pairs) * (1 - threshold / (2 - threshold)) + 1e-9
         chosen: set[str] = set()
-        for word in sorted({w for p in pairs for w in p}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for p in pairs for w in p}, key=lambda w: (w in _COMMON, -len(w), w)):
             if sum(not chosen.isdisjoint(p) for p in pairs) > spare:
                 break
             chosen.add(word)
@@ -99,38 +69,58 @@ def anchors(templates: Mapping[str, str], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def match(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """``docs`` plus ``license`` (best template or NULL), ``dice`` (NULL likewise) and ``n_matches`` (candidates that match).
+_SCORES = "array<struct<minus:double,name:string>>"
 
-    Columns of these names in ``docs`` are replaced.  No shuffle: each row is judged where it lies.
-    """
-    own = {name: template_bigrams(t) for name, t in sorted(templates.items())}
-    own = {name: b for name, b in own.items() if b}
+
+def _literal(pairs: list[str]) -> Column:
+    """Bigrams as one literal, which is folded to an array; words hold no bar."""
+    return F.split(F.lit("|".join(pairs)), r"\|")
+
+
+def _holding(words: list[str]) -> str:
+    """Pattern of texts in lower case that hold one of ``words``."""
+    return "(?<![a-z0-9])(?:" + "|".join(words) + ")(?![a-z0-9])"
+
+
+def _judge(text: Column, own: Mapping[str, list[str]], threshold: float) -> Column:
+    """Best template of a text as an array of one struct ``minus, name``, empty below the threshold."""
     reach = (2 - threshold) / threshold
     low, high = min(map(len, own.values())) / reach, max(map(len, own.values())) * reach
-    telling = "|".join(anchors(templates, threshold))
-    holds = lambda c: F.lower(c).rlike(telling)
-    body = F.col(f"`{text}`")
-    lines = F.split(body, "\n")
-    parts = F.when(F.size(lines) > 1, F.concat(lines, F.array(body))).otherwise(lines)
-    none = F.array().cast("array<string>")
-    pieces = F.when(holds(body), F.filter(parts, holds)).otherwise(none)
-    words = F.filter(F.transform(pieces, normal_words), lambda w: (F.size(w) > low) & (F.size(w) > 1))
-    # Distinct bigrams number words - 1 at most; their bound is applied per template below.
-    found = F.filter(F.transform(words, bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
 
     def scores(b: Column) -> Column:
         each = []
         for name, pairs in own.items():
             near = (F.size(b) * reach >= len(pairs)) & (F.size(b) <= len(pairs) * reach)
-            known = F.array(*[F.lit(p) for p in pairs])
-            dice = F.when(near, 2.0 * F.size(F.array_intersect(b, known)) / (F.size(b) + len(pairs))).otherwise(0.0)
+            dice = F.when(near, 2.0 * F.size(F.array_intersect(b, _literal(pairs))) / (F.size(b) + len(pairs))).otherwise(0.0)
             each.append(F.struct((-dice).alias("minus"), F.lit(name).alias("name")))
         return F.array_min(F.array(*each))
 
-    matched = F.filter(F.transform(found, scores), lambda s: s["minus"] <= -threshold)
+    words = F.filter(F.transform(F.array(text), normal_words), lambda w: (F.size(w) > low) & (F.size(w) > 1))
+    # Distinct bigrams number words - 1 at most; their bound is applied per template above.
+    found = F.filter(F.transform(words, bigrams), lambda b: (F.size(b) >= low) & (F.size(b) <= high))
+    return F.filter(F.transform(found, scores), lambda s: s["minus"] <= -threshold)
+
+
+def match(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """``docs`` plus ``license`` (best template or NULL), ``dice`` (NULL likewise) and ``n_matches`` (candidates that match).
+
+    Columns of these names in ``docs`` are replaced.  No shuffle: each row is judged where it lies.
+    """
+    own = {name: template_bigrams(t) for name, t in sorted(templates.items())}
+    own = {name: b for name, b in own.items() if b}
+    short = {name: templates[name] for name, b in own.items() if len(b) <= LONG}
+    telling = _holding(anchors(short, threshold)) if short else "(?!)"
+    # n words and their separators are 2 n - 1 characters at least.
+    least = min((len(b) for b in own.values() if len(b) > LONG), default=float("inf")) * threshold / (2 - threshold)
+    fits = lambda c: F.lower(c).rlike(telling) | (F.length(c) > 2.0 * least)
+    body, none = F.col(f"`{text}`"), F.array().cast(_SCORES)
     clash = [c for c in docs.columns if c not in ("license", "dice", "n_matches")]
-    out = docs.withColumn("__matched", F.coalesce(matched, F.array().cast("array<struct<minus:double,name:string>>")))
+    out = docs.withColumn("__fits", F.coalesce(fits(body), F.lit(False)))
+    out = out.withColumn("__parts", F.when(F.col("__fits"), F.split(body, "\n")).otherwise(F.array().cast("array<string>")))
+    judged = lambda c: F.when(fits(c), _judge(c, own, threshold)).otherwise(none)
+    out = out.withColumn("__lines", F.when(F.size("__parts") > 1, F.transform("__parts", judged)).otherwise(F.array(none)))
+    out = out.withColumn("__body", F.when(F.col("__fits"), _judge(body, own, threshold)).otherwise(none))
+    out = out.withColumn("__matched", F.concat(F.flatten("__lines"), "__body"))
     best = F.array_min("__matched")
     return out.select(
         *[F.col(f"`{c}`") for c in clash],

@@ -444,6 +444,23 @@ def test_anchors_are_needed(threshold):
         assert 2 * len(left) / (len(left) + len(pairs)) < threshold
 
 
+def test_license_templates_cover_documents_lines_and_full_texts(spark):
+    lines = {
+        1: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-line"),
+        2: ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-short"),
+        3: ("Licensed under the Apache License, Version 2.0.", "Apache-2.0-line"),
+        4: ("Released under the MIT License.", "MIT-line"),
+        5: ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0-short"),
+        6: ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-line"),
+    }
+    rows = [(i, f"Some words first.\n{line}\nand some more after it") for i, (line, _) in lines.items()]
+    full = sorted(n for n, t in license_match.TEMPLATES.items() if len(license_match.template_bigrams(t)) > license_match.LONG)
+    assert len(full) == 7
+    rows += [(100 + i, "Copyright 2020 Somebody\n" + license_match.TEMPLATES[n]) for i, n in enumerate(full)]
+    got = {r["doc_id"]: r["license"] for r in license_match.match(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: name for i, (_, name) in lines.items()} | {100 + i: n for i, n in enumerate(full)}
+
+
 # --- token files
 
 def test_stitching(spark, tmp_path):
