@@ -1,7 +1,11 @@
 """Licence scans: normalised text against licence templates by Dice over word bigrams.
 
 DataFrame functions only.  A document is compared by its whole text and by each of its lines
-(a licence is mostly a line, a header or the whole file).  Dice >= t needs
+(a licence is mostly a line, a header or the whole file), and, unless it matches as a whole, by every
+run of words as long as a template outside the lines that match: wrapped notices and licence sentences
+inside paragraphs are such runs.  Runs of one place count as one match.  A run needs t / (2 - t) of a
+template's bigrams, so only runs around that many hits are scored.  Templates of over ``LONG``
+bigrams are compared with lines and whole texts alone.  Dice >= t needs
 t / (2 - t) x |template| <= |candidate| <= (2 - t) / t x |template| bigrams, so candidates outside
 every template's bounds are never looked at, and only templates within bounds meet a candidate.
 Templates are parameters of a fixed size and travel as literals, so nothing is shuffled or joined.
@@ -14,6 +18,7 @@ Equal scores go to the template that sorts first.  Repeated rows are each given
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping
 
@@ -44,8 +49,12 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def normal_template(text: str) -> list[str]:
+    return re.sub(r"[\x00-/:-`{-\x7f]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[\x00-/:-`{-\x7f]+", " ", text.lower()).split()
+    words = normal_template(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
@@ -70,6 +79,7 @@ def anchors(templates: Mapping[str, str], threshold: float) -> list[str]:
 
 
 _SCORES = "array<struct<minus:double,name:string>>"
+_RUNS = "array<struct<start:int,end:int,minus:double,name:string>>"
 
 
 def _literal(pairs: list[str]) -> Column:
@@ -101,6 +111,41 @@ def _judge(text: Column, own: Mapping[str, list[str]], threshold: float) -> Colu
     return F.filter(F.transform(found, scores), lambda s: s["minus"] <= -threshold)
 
 
+def _runs(own: Mapping[str, list[str]], templates: Mapping[str, str], threshold: float, lower: Column) -> Column:
+    """Runs of ``__words`` that match, as structs ``start, end, minus, name``; ``__pairs`` are the neighbours of ``__words``."""
+    known = []
+    for name, pairs in own.items():
+        telling = _holding(anchors({name: templates[name]}, threshold))
+        length = len(normal_template(templates[name]))
+        need = math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9)
+        fields = {"name": F.lit(name), "length": F.lit(length), "need": F.lit(need), "known": _literal(pairs), "telling": F.lit(telling)}
+        known.append(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    n = F.size("__words")
+
+    def of(t: Column) -> Column:
+        inside = F.filter(
+            F.transform("__pairs", lambda b, p: F.when(F.array_contains(t["known"], b), p)), lambda p: p.isNotNull()
+        )
+
+        def starts(hits: Column) -> Column:
+            # The hits k .. k + need - 1 lie in one run if they span no more than its bigrams.
+            ends = F.transform(hits, lambda a, k: F.struct(a.alias("a"), F.get(hits, k + t["need"] - 1).alias("b")))
+            close = F.filter(ends, lambda e: e["b"] - e["a"] <= t["length"] - 2)
+            ranges = lambda e: F.sequence(F.greatest(F.lit(0), e["b"] - t["length"] + 2), F.least(e["a"], n - t["length"]))
+            return F.array_distinct(F.flatten(F.transform(close, ranges)))
+
+        def scored(i: Column) -> Column:
+            pairs = F.array_distinct(F.slice(F.col("__pairs"), i + 1, t["length"] - 1))
+            dice = 2.0 * F.size(F.array_intersect(pairs, t["known"])) / (F.size(pairs) + F.size(t["known"]))
+            return F.struct(i.alias("start"), (i + t["length"]).alias("end"), (-dice).alias("minus"), t["name"].alias("name"))
+
+        begun = F.flatten(F.transform(F.array(inside), starts))
+        return F.filter(F.transform(begun, scored), lambda s: s["minus"] <= -threshold)
+
+    likely = F.filter(F.array(*known), lambda t: (t["length"] <= n) & F.rlike(lower, t["telling"]))
+    return F.flatten(F.transform(likely, of))
+
+
 def match(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """``docs`` plus ``license`` (best template or NULL), ``dice`` (NULL likewise) and ``n_matches`` (candidates that match).
 
@@ -120,11 +165,30 @@ def match(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold:
     judged = lambda c: F.when(fits(c), _judge(c, own, threshold)).otherwise(none)
     out = out.withColumn("__lines", F.when(F.size("__parts") > 1, F.transform("__parts", judged)).otherwise(F.array(none)))
     out = out.withColumn("__body", F.when(F.col("__fits"), _judge(body, own, threshold)).otherwise(none))
-    out = out.withColumn("__matched", F.concat(F.flatten("__lines"), "__body"))
+    # A line that matches is a word of its own kind here, so no run reaches over it.
+    words = lambda c, j: F.when(F.size(j) > 0, F.array(F.lit("\n"))).otherwise(normal_words(c))
+    open_ = F.lower(body).rlike(telling) & (F.size("__body") == 0)
+    no_words = F.array().cast("array<string>")
+    out = out.withColumn("__words", F.when(open_, F.flatten(F.zip_with("__parts", "__lines", words))).otherwise(no_words))
+    rest = F.slice(F.col("__words"), F.lit(2), F.greatest(F.size("__words") - 1, F.lit(0)))
+    pairs = F.zip_with("__words", rest, lambda a, b: F.concat(a, F.lit(" "), b))
+    out = out.withColumn("__pairs", F.filter(pairs, lambda b: b.isNotNull()))
+    runs = _runs({n: own[n] for n in short}, templates, threshold, F.lower(body)) if short else F.array().cast(_RUNS)
+    out = out.withColumn("__runs", F.when(F.size("__pairs") > 0, runs).otherwise(F.array().cast(_RUNS)))
+    # Runs that overlap are one place.
+    places = F.aggregate(
+        F.array_sort("__runs"),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda s, x: F.struct((s["n"] + (x["start"] >= s["end"]).cast("int")).alias("n"), F.greatest(s["end"], x["end"]).alias("end")),
+        lambda s: s["n"],
+    )
+    run_scores = F.transform("__runs", lambda x: F.struct(x["minus"].alias("minus"), x["name"].alias("name")))
+    lines_and_text = F.concat(F.flatten("__lines"), "__body")
+    out = out.withColumn("__n", F.size(lines_and_text) + places).withColumn("__matched", F.concat(lines_and_text, run_scores))
     best = F.array_min("__matched")
     return out.select(
         *[F.col(f"`{c}`") for c in clash],
         best["name"].alias("license"),
         (-best["minus"]).alias("dice"),
-        F.size("__matched").cast("long").alias("n_matches"),
+        F.col("__n").cast("long").alias("n_matches"),
     )

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -461,6 +462,24 @@ def test_license_templates_cover_documents_lines_and_full_texts(spark):
     assert got == {i: name for i, (_, name) in lines.items()} | {100 + i: n for i, n in enumerate(full)}
 
 
+def test_wrapped_notices_and_sentences_in_paragraphs(spark):
+    rng = random.Random(12)
+    names = ["MIT-grant", "GPL-notice", "MPL-2.0-notice", "BSD-grant", "ISC-grant", "Apache-2.0-notice", "MIT-text", "BSD-3-Clause-text"]
+    rows = []
+    for i, name in enumerate(names):
+        comment = ["", " * ", "# "][i % 3]
+        wrapped = "\n".join(comment + x for x in textwrap.wrap(license_match.TEMPLATES[name], 76))
+        rows.append((i, f"{prose(rng, 900)}\n{wrapped}\n{prose(rng, 900)}"))
+    inline = f"{prose(rng, 60)} This project is licensed under the MIT License. {prose(rng, 60)}"
+    rows += [(20, inline), (21, f"{inline}\n{inline}"), (22, f"{prose(rng, 60)} licensed under no terms of the MIT kind")]
+    got = {r["doc_id"]: r for r in license_match.match(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [got[i]["license"] for i in range(len(names))]
+    # A line or a run of the same licence may score as well as the notice.
+    assert [f and f.split("-")[0] for f in found] == [n.split("-")[0] for n in names]
+    assert (got[20]["license"], got[20]["dice"], got[20]["n_matches"]) == ("MIT-licensed", 1.0, 1)
+    assert got[21]["n_matches"] == 2 and got[22]["license"] is None
+
+
 # --- token files
 
 def test_stitching(spark, tmp_path):
