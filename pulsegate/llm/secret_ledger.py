@@ -51,9 +51,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     Rule("hex", r"[0-9a-f]+", 32),
 )
+# A private key up to its END line, or, without one before the next five dashes, to the end of its
+# base64: header lines, runs of 16 characters or more and the first run of the next line.  Line breaks may be escaped.
+_BREAK = r"(?:[\x20\x09-\x0D]|\\[nrt])"
+_PEM = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-{1,4}[^-])*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_BREAK}*[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: [^\r\n\\]*)*(?:{_BREAK}*[A-Za-z0-9+/=]{{16,}})*"
+    rf"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/=]+)?)"
+)
 # Public token formats, added by this operator.
 ADDED = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 1),
+    Rule("pem", _PEM, 1, version=2),
     Rule("vcs", r"gh[opsur]_[A-Za-z0-9]+", 36),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 39),
