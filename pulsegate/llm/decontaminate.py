@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate.llm.common import annotate, raw
+from pulsegate.session import durable
 
 SIZE = 10
 # About 100 bytes a window in a worker: 2,000,000 windows stay near 200 MB.
@@ -174,6 +175,19 @@ def find_hits(
     return united.withColumns({"hits": merged, "__copy": copies}).drop("__copies", "__copy", "__content")
 
 
+def _without(data: bytes, words: list[bytes], spans: list[tuple[int, int]]) -> bytes:
+    """``data`` without the passages ``spans`` of its ``words``, each from its first to its last word."""
+    table = data.translate(_TABLE)
+    begins, at = [], 0
+    for w in words:
+        at = table.index(w, at)
+        begins.append(at)
+        at += len(w)
+    for a, b in reversed(spans):
+        data = data[: begins[a]] + data[begins[b - 1] + len(words[b - 1]) :]
+    return data
+
+
 def cut(data: bytes, known: HashSet) -> tuple[bytes, int, int]:
     """Text without benchmark passages, words at first and words removed.
 
@@ -188,14 +202,7 @@ def cut(data: bytes, known: HashSet) -> tuple[bytes, int, int]:
         if not hit.any():
             return data, first, removed or 0
         removed = (removed or 0) + int(hit.sum())
-        table = data.translate(_TABLE)
-        begins, at = [], 0
-        for w in words:
-            at = table.index(w, at)
-            begins.append(at)
-            at += len(w)
-        for a, b in reversed(spans_of(hit)):
-            data = data[: begins[a]] + data[begins[b - 1] + len(words[b - 1]) :]
+        data = _without(data, words, spans_of(hit))
 
 
 def clean(
@@ -210,24 +217,72 @@ def clean(
 
     Untouched texts are given back byte for byte; an ``n_chars`` column follows its text.
     """
-    context = docs.sparkSession.sparkContext
-    out = docs
-    for known in _blocks(benchmark, size, bound):
-        shared = context.broadcast(known)
-
-        def run(texts: list[bytes | None], shared=shared):
-            cleaned, lost = [], []
-            for t in texts:
-                left, n, gone = (t, 0, 0) if t is None else cut(t, shared.value)
-                cleaned.append(None if left is None else left.decode("utf-8", "replace"))
-                lost.append(gone / n if n else 0.0)
-            return cleaned, lost
-
-        rest = [c for c in docs.columns if c != text]
-        out = annotate(out, rest, [raw(text)], run, f"`{text}` string, __lost double")
-        out = out.where(F.col("__lost") <= drop_share)
-        if "n_chars" in docs.columns:
-            kind = docs.schema["n_chars"].dataType
-            out = out.withColumn("n_chars", F.when(F.col("__lost") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(kind))
-        out = out.select(*[F.col(f"`{c}`") for c in docs.columns])
-    return out
+    blocks = _blocks(benchmark, size, bound)
+    known, more = next(blocks), next(blocks, None)
+    if more is not None:
+        del known, more
+        return _clean_by_rounds(docs, benchmark, size, drop_share, text, bound)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(texts: list[bytes | None]):
+        cleaned, lost = [], []
+        for t in texts:
+            left, n, gone = (t, 0, 0) if t is None else cut(t, shared.value)
+            cleaned.append(None if left is None else left.decode("utf-8", "replace"))
+            lost.append(gone / n if n else 0.0)
+        return cleaned, lost
+
+    rest = [c for c in docs.columns if c != text]
+    out = annotate(docs, rest, [raw(text)], run, f"`{text}` string, __lost double")
+    return _kept(out, docs, drop_share, text)
+
+
+def _kept(out: DataFrame, docs: DataFrame, drop_share: float, text: str) -> DataFrame:
+    """Columns of ``docs`` of the rows whose share ``__lost`` is within ``drop_share``."""
+    out = out.where(F.col("__lost") <= drop_share)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__lost") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(kind))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _clean_by_rounds(docs: DataFrame, benchmark: DataFrame, size: int, drop_share: float, text: str, bound: int) -> DataFrame:
+    """:func:`clean` with several blocks: hits of all blocks are united before each cut, until no document is hit.
+
+    Documents without a hit leave the rounds; each round removes words from all others.
+    """
+    new = f"`{text}` string, __first bigint, __gone bigint"
+    rest = [c for c in docs.columns if c != text]
+
+    def run(texts: list[bytes | None], spans: list, firsts: list[int | None], gone: list[int]):
+        out = [], [], []
+        for t, own, first, g in zip(texts, spans, firsts, gone):
+            if own:
+                words, pairs = normal_words(t), [(s["start"], s["end"]) for s in own]
+                first, g = len(words) if first is None else first, g + sum(b - a for a, b in pairs)
+                t = _without(t, words, pairs)
+            for column, value in zip(out, (None if t is None else t.decode("utf-8", "replace"), first, g)):
+                column.append(value)
+        return out
+
+    left = docs.withColumns({"__first": F.lit(None).cast("bigint"), "__gone": F.lit(0).cast("bigint")})
+    parts = []
+    while True:
+        keyed = left.withColumn("__key", F.sha2(text, 256))
+        texts = keyed.select("__key", F.col(f"`{text}`").alias("text"))
+        hits = find_hits(texts, benchmark, ["__key"], size, bound).where(F.size("hits") > 0)
+        hits = durable(hits.select("__key", F.col("hits").alias("__hits")).dropDuplicates(["__key"]))
+        if hits.isEmpty():
+            parts.append(left)
+            break
+        joined = keyed.join(hits, "__key", "left")
+        inputs = [raw(text), F.col("__hits"), F.col("__first"), F.col("__gone")]
+        marked = joined.withColumn("__hit", F.col("__hits").isNotNull())
+        done = durable(annotate(marked, [*rest, "__hit"], inputs, run, new))
+        parts.append(done.where(~F.col("__hit")).drop("__hit"))
+        left = done.where("__hit").drop("__hit")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = out.withColumn("__lost", F.when(F.col("__first") > 0, F.col("__gone") / F.col("__first")).otherwise(0.0))
+    return _kept(out, docs, drop_share, text)

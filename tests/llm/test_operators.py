@@ -452,6 +452,32 @@ def test_pem_keys_are_redacted_whole(spark):
         assert from_sql[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in secret_ledger.find_spans(t))
 
 
+def test_clean_does_not_depend_on_blocks(spark):
+    rng = random.Random(33)
+    w = [f"bench{i}" for i in range(400)]
+    # Items overlap by two words, so that their passages run into one another whatever the blocks.
+    items = [(i, " ".join(w[8 * i : 8 * i + 10])) for i in range(40)]
+    bench = spark.createDataFrame([*items, (90, None), (91, "")], "item_id long, text string")
+    word = lambda n: " ".join(f"own{rng.randint(0, 9999)}" for _ in range(n))
+    rows = [(i, f"{word(30)}, {' '.join(w[8 * i : 8 * i + 18])}. {word(20)}") for i in range(30)]
+    # Two passages of 30 and 26 of 100 words: over half of the words, by parts under half of what is left.
+    for i in range(8):
+        at = 40 * (i % 4)
+        rows.append((100 + i, f"{' '.join(w[at : at + 26])} {word(22)} {' '.join(w[at + 160 : at + 186])} {word(22)}"))
+    # A cut joins the halves of another item.
+    for i in range(20):
+        a, b = items[i][1].split(), items[i + 20][1]
+        rows.append((200 + i, f"{word(15)} {' '.join(a[:5])} {b} {' '.join(a[5:])} {word(15)}"))
+    rows += [rows[0], (300, None), (301, ""), (None, rows[3][1]), (302, word(12))]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    sets = [
+        sorted((repr(tuple(r)) for r in decontaminate.clean(docs, bench, bound=b).collect())) for b in (40, 2_000_000)
+    ]
+    assert sets[0] == sets[1]
+    left = [r for r in sets[1] if "bench" in r]
+    assert not left and len(sets[1]) == len(rows) - 8
+
+
 # --- licences
 
 def test_license_lines(spark):
