@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegate.llm import decontaminate, langid, license_match, mixing, quality, secret_ledger, simhash, site_quality
+from pulsegate.llm import decontaminate, langid, license_match, mixing, near_copies, quality, secret_ledger, simhash, site_quality
 from pulsegate.llm import suffix_dedup, suffix_sort, token_files
 from pulsegate.llm.components import components
 from pulsegate.llm.queries import RUNS
@@ -478,6 +478,33 @@ def test_clean_does_not_depend_on_blocks(spark):
     assert not left and len(sets[1]) == len(rows) - 8
 
 
+def test_near_copies_are_the_components_of_similar_pairs(spark):
+    rng = random.Random(41)
+    texts = []
+    for n in (40, 120, 400):
+        base = prose(rng, n).split()
+        for share in (0.0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.3):
+            words = list(base)
+            for at in rng.sample(range(n), int(share * n)):
+                words[at] = prose(rng, 1)
+            texts.append(" ".join(words))
+        # A chain: neighbours are similar, its ends are not.
+        texts += [" ".join([*base[k * n // 12 :], *(f"end{k}x{j}" for j in range(k * n // 60))]) for k in range(1, 6)]
+    texts += [texts[0].upper(), texts[1], "", None, "  \n", "one", "one two three", "One two three"]
+    sets = [set(near_copies.shingles((t or "").encode()).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            group = [group[i] if g == group[j] else g for g in group]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = near_copies.deduplicate(docs)
+    assert kept.columns == docs.columns
+    want = {min(i for i in range(len(texts)) if group[i] == g) for g in set(group)}
+    assert {r["doc_id"] for r in kept.collect()} == want
+    by_three_bits = {r["doc_id"] for r in simhash.deduplicate(docs).collect()}
+    assert want < by_three_bits
+
+
 # --- licences
 
 def test_license_lines(spark):
