@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegate.llm import (
+    chat_format,
     decontaminate,
     langid,
     license_match,
     mixing,
+    periodic_runs,
+    phrases,
     quality,
     secret_ledger,
     simhash,
@@ -130,6 +134,66 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(counted, same).select("doc_id", "n_tokens")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and trained texts of each conversation, read back from the formatted string."""
+    rows = chat_format.gather(_read(spark, sf_dir, "conversations"))
+    said = F.lit(chat_format.CONTROL_TEXT)
+    control = spark.range(1).select(F.lit(chat_format.CONTROL_CONV).cast("bigint").alias("conv_id"), said.alias("prompt"), said.alias("completion"))
+    out = chat_format.format_chats(rows.unionByName(control, allowMissingColumns=True), ["conv_id"])
+    read = out.select(
+        "conv_id",
+        chat_format.parse(F.col("formatted")).alias("turns"),
+        F.array_join(chat_format.masked(F.col("formatted"), F.col("loss")), "").alias("trained"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("bigint").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of each language."""
+    return phrases.mine(_read(spark, sf_dir))
+
+
+def planted_period(words: list[bytes], doc_id: int | None) -> list[bytes]:
+    """Words of a document as the contract has them: one in ten repeats a stretch to its end."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of each document, the one of most periods, and the digest of what is left without repeats."""
+    found = periodic_runs.find_runs(_read(spark, sf_dir), ["doc_id"], rewrite=planted_period)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+
+    def more(best, run):
+        return F.when(best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+
+    best = F.aggregate("runs", none, more)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    listed = found.withColumns({"best": best, "lines": F.array_join(lines, "")})
+    return listed.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 RUNS = {
     f.__name__: f
     for f in (
@@ -143,5 +207,8 @@ RUNS = {
         op8_language_id,
         op9_license_match,
         op10_token_counts,
+        op11_chat_format,
+        op12_phrases,
+        op13_periodic_runs,
     )
 }

@@ -5,7 +5,8 @@ Parameters come from the operators, the way to the result does not.
 
 from __future__ import annotations
 
-from pulsegate.llm import license_match, mixing, quality, secret_ledger
+from pulsegate.llm import license_match, mixing, phrases, quality, secret_ledger
+from pulsegate.llm.chat_format import ASSISTANT, CONTROL_TEXT
 from pulsegate.llm.common import WORD
 from pulsegate.llm.decontaminate import _SQL_WORD, SIZE
 
@@ -197,6 +198,58 @@ g AS (
 SELECT doc_id, license, round(dice, 6) AS dice, coalesce(n, 0) AS n_matches FROM d LEFT JOIN g USING (r)
 """
 
+_ESCAPED = f"(12 + length(role) + 2 * len(regexp_extract_all(role, '[%|\n]')) + 1 + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) + 11)"
+OP11 = f"""
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k
+  FROM conversations
+  UNION ALL SELECT -1, r, {_text(CONTROL_TEXT)}, k FROM (VALUES ('user', 1), ('assistant', 2)) v(r, k))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = {_text(ASSISTANT)}), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = {_text(ASSISTANT)}), '')) AS loss_sha256,
+       sum({_ESCAPED})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def _phrases(length: int) -> str:
+    words = ", ".join(["word"] + [f"lead(word, {k}) OVER w AS w{k}" for k in range(1, length)])
+    last = f"w{length - 1}" if length > 1 else "word"
+    listed = " || ' ' || ".join(["word"] + [f"w{k}" for k in range(1, length)])
+    return f"SELECT lang, {length} AS k, {listed} AS phrase, count(*) AS f FROM (SELECT lang, {words} FROM t WINDOW w AS (PARTITION BY r, piece ORDER BY pos)) WHERE {last} IS NOT NULL GROUP BY ALL"
+
+
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT r, lang, unnest(pieces) AS body, generate_subscripts(pieces, 1) AS piece FROM d),
+q AS (SELECT r, lang, piece, regexp_extract_all(body, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT r, lang, piece, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM q),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f AS ({" UNION ALL ".join(_phrases(k) for k in range(1, phrases.LONGEST + 1))}),
+a AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS words FROM f WHERE f >= {phrases.LEAST}),
+-- All parts of all longer candidates, with how often the candidate occurs.
+i AS (
+  SELECT a.lang, array_to_string(a.words[b : b + m - 1], ' ') AS phrase, max(a.f) AS most
+  FROM a, range(1, {phrases.LONGEST}) x(b), range(2, {phrases.LONGEST}) y(m)
+  WHERE m < a.k AND b + m - 1 <= a.k GROUP BY ALL),
+c AS (SELECT a.* FROM a LEFT JOIN i USING (lang, phrase) WHERE a.k > 1 AND (most IS NULL OR 100 * most < 100 * a.f)),
+s AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n.n AS n,
+         ({phrases.SCALE}::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN range(1, {phrases.LONGEST}) z(j) ON j < c.k
+  JOIN n ON n.lang = c.lang
+  JOIN a l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:j], ' ')
+  JOIN a r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[j + 1 : c.k], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS cut FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE cut = 1)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= {phrases.TOP}
+"""
+
 SQL: dict[str, str] = {
     "op1_source_mix": OP1,
     "op2_line_quality": OP2,
@@ -204,4 +257,6 @@ SQL: dict[str, str] = {
     "op5_repeated_strings": OP5,
     "op7_decontaminate": OP7,
     "op9_license_match": OP9,
+    "op11_chat_format": OP11,
+    "op12_phrases": OP12,
 }

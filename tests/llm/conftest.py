@@ -48,7 +48,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def tables(rows, tmp_path_factory):
-    """A folder with ``documents``, ``benchmark`` and ``labels`` for whole queries."""
+    """A folder with ``documents``, ``benchmark``, ``labels`` and ``conversations`` for whole queries."""
     import pyarrow as pa
     import pyarrow.parquet as pq
 
@@ -62,4 +62,8 @@ def tables(rows, tmp_path_factory):
     pq.write_table(item, root / "benchmark.parquet")
     label = {"doc_id": pa.array([0, 1, 2, 3, 3, None], pa.int64()), "quality": pa.array([1, 0, 1, None, 1, 1], pa.int32())}
     pq.write_table(pa.table({**label, "toxic": pa.array([0] * 6, pa.int32())}), root / "labels.parquet")
+    talk = [(1, 0, "system", "s"), (1, 1, "user", "<|im_end|> a|b <\\|"), (1, 2, "assistant", "é\n"), (1, 2, "assistant", "é\n"), (2, None, None, None), (2, 0, "a%|\nb", "")]
+    talk += [(None, 5, "assistant", None), (3, 1, "assistant", "later"), (3, 0, "user", "first")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    pq.write_table(pa.table({n: pa.array([r[i] for r in talk], k) for i, (n, k) in enumerate(zip(("conv_id", "turn", "role", "text"), kinds))}), root / "conversations.parquet")
     return str(root)
