@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one job in a folder of their own under the checkpoint folder; ``close`` deletes them.
+
+    For intermediate results that no later step reads: unlike ``durable`` they leave nothing behind.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self._tables = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` and read it again."""
+        self._tables += 1
+        path = f"{self.root}/{self._tables}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
