@@ -6,6 +6,8 @@ logarithm of the longest chain.  Lineage is cut by a reliable checkpoint per rou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,13 @@ def _state(edges: DataFrame):
     return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, root`` for every linked node but the roots; ``links`` are rows ``a, b`` of longs, a root is the least node."""
+def components(links: DataFrame, write: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
+    """``node, root`` for every linked node but the roots; ``links`` are rows ``a, b`` of longs, a root is the least node.
+
+    ``write`` keeps the edges of a round.
+    """
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = durable(ordered.distinct())
+    edges = write(ordered.distinct())
     state = _state(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -29,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: smaller neighbours and the node itself move to the least of them.
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = durable(moved.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        edges = write(moved.union(lower.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _state(edges)
         if before == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

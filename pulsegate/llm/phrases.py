@@ -39,12 +39,14 @@ from pulsegate.session import durable, ship_package
 LEAST, LONGEST, TOP, SCALE = 100, 5, 2000, 1000
 SEPARATORS = b".,;:!?\n\v\f\r"
 
-TILE, DENSE, MAX_TILES = 512, 1 << 14, 16
-HEAD = 1 << 16
+# Tiles are dense in the square of the first SIDE * TILE ranks only; HEAD stays below 2 ** 31.
+TILE, SIDE, DENSE, MAX_TILES = 512, 16, 1 << 14, 16
+HEAD = 1 << 20
 FILTER_BITS = 1 << 26
 _CHUNK, _BLOCK_TOKENS, _HELD = 1 << 20, 1 << 18, 1 << 20
 _MARK = b"\xff"  # never part of UTF-8 text
 _TO_MARK = bytes.maketrans(SEPARATORS + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t", _MARK * len(SEPARATORS) + b"abcdefghijklmnopqrstuvwxyz ")
+_TOP = np.uint64(1 << 63)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
 
 
@@ -66,11 +68,25 @@ def seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
+def word_hash(word: bytes, of: int) -> int:
+    """Hash of a word; its top bit is set, so that as a signed integer it is negative and no rank."""
+    return xxhash.xxh64_intdigest(word, of) | 1 << 63
+
+
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hash of the phrase whose first and last parts have the hashes ``left`` and ``right``."""
     mixed = (left * _MIX[0]) ^ (right + (left >> np.uint64(29)))
     mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX[1]
-    return (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1)
+    return (mixed ^ (mixed >> np.uint64(29))) | _TOP
+
+
+def parts_of(block: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all stretches of ``length`` words, and whether none of their words is a mark."""
+    parts, inside = block, block != 0
+    for k in range(1, length):
+        parts = joined(parts[:-1], parts[1:])
+        inside = inside[:-1] & (block[k:] != 0)
+    return parts, inside
 
 
 class _Words(dict):
@@ -84,7 +100,7 @@ class _Words(dict):
         if len(self) > _HELD:
             self.clear()
             self[_MARK] = 0
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed) or 1
+        value = self[word] = word_hash(word, self.seed)
         return value
 
 
@@ -102,73 +118,86 @@ class Known:
         at = h & self.mask
         return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
-    def rank(self, h: np.ndarray) -> np.ndarray:
-        """Rank of each hash, -1 beyond the head."""
+    def coded(self, h: np.ndarray) -> np.ndarray:
+        """Rank of each hash, which is not negative; beyond the head the hash itself, which is."""
+        own = h.view(np.int64)
         if not len(self.head):
-            return np.full(len(h), -1, dtype=np.int64)
+            return own
         at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-        return np.where(self.head[at] == h, self.ranks[at], -1)
+        return np.where(self.head[at] == h, self.ranks[at], own)
 
+    def hashed(self, codes: np.ndarray) -> np.ndarray:
+        """The hashes of ``coded``."""
+        out, ranked = codes.view(np.uint64).copy(), codes >= 0
+        out[ranked] = self.by_rank[codes[ranked]]
+        return out
 
-def _sorted_counts(left: np.ndarray, right: np.ndarray, n: np.ndarray | None = None):
-    """Coordinates sorted and summed: (left, right, count)."""
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    first = np.ones(len(left), dtype=bool)
-    first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+
+def _sums(keys: tuple[np.ndarray, ...], n: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Coordinates sorted by ``keys`` and summed: (*keys, count)."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     starts = np.flatnonzero(first)
-    sums = np.diff(np.append(starts, len(left))) if n is None else np.add.reduceat(n[order], starts) if len(starts) else n
-    return left[first], right[first], sums.astype(np.int64)
+    if n is None:
+        sums = np.diff(np.append(starts, len(order)))
+    else:
+        sums = np.add.reduceat(n[order], starts) if len(starts) else n
+    return (*(k[first] for k in keys), sums.astype(np.int64))
 
 
 class PairCounter:
-    """Counts of pairs of symbols in dense tiles and sorted coordinates."""
+    """Counts of pairs of coded symbols: dense tiles, sorted addresses of ranked pairs, sorted pairs of the others."""
 
-    def __init__(self, known: Known, held: int = _HELD):
-        self.known, self.held = known, held
+    def __init__(self, held: int = _HELD):
+        self.held = held
         self.tiles: dict[int, np.ndarray] = {}
-        self.sparse: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.addresses: list[tuple[np.ndarray, ...]] = []
+        self.others: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, left: np.ndarray, right: np.ndarray) -> None:
-        x, y = self.known.rank(left), self.known.rank(right)
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
         ranked = (x >= 0) & (y >= 0)
-        side = HEAD // TILE + 1
-        tile = np.where(ranked, (x // TILE) * side + y // TILE, -1)
-        seen, where, sizes = np.unique(tile, return_inverse=True, return_counts=True)
-        dense = np.zeros(len(seen), dtype=bool)
-        for k, t in enumerate(seen):
-            if t >= 0 and (t in self.tiles or (sizes[k] >= DENSE and len(self.tiles) < MAX_TILES)):
-                dense[k] = True
-                own = where == k
-                cells = (x[own] % TILE) * TILE + y[own] % TILE
-                counted = np.bincount(cells, minlength=TILE * TILE)
+        if not ranked.all():
+            self.others.append(_sums((x[~ranked], y[~ranked])))
+            x, y = x[ranked], y[ranked]
+        square = (x < SIDE * TILE) & (y < SIDE * TILE)
+        tile = np.where(square, (x // TILE) * SIDE + y // TILE, SIDE * SIDE)
+        sizes = np.bincount(tile, minlength=SIDE * SIDE + 1)
+        rest = np.ones(len(tile), dtype=bool)
+        for t in np.flatnonzero(sizes[:-1]):
+            if t in self.tiles or (sizes[t] >= DENSE and len(self.tiles) < MAX_TILES):
+                own = tile == t
+                counted = np.bincount((x[own] % TILE) * TILE + y[own] % TILE, minlength=TILE * TILE)
                 self.tiles[t] = counted if t not in self.tiles else self.tiles[t] + counted
-        rest = ~dense[where]
+                rest &= ~own
         if rest.any():
-            self.sparse.append(_sorted_counts(left[rest], right[rest]))
-            if sum(len(s[0]) for s in self.sparse) > 4 * self.held:
-                self._merge()
+            self.addresses.append(_sums((x[rest] << 32 | y[rest],)))
+        if sum(len(s[0]) for s in (*self.addresses, *self.others)) > 4 * self.held:
+            self._merge()
 
     def _merge(self) -> None:
-        if self.sparse:
-            self.sparse = [_sorted_counts(*(np.concatenate(c) for c in zip(*self.sparse)))]
+        for held in (self.addresses, self.others):
+            if len(held) > 1:
+                *keys, n = (np.concatenate(c) for c in zip(*held))
+                held[:] = [_sums(tuple(keys), n)]
 
     def full(self) -> bool:
-        return bool(self.sparse) and len(self.sparse[0][0]) > self.held
+        return sum(len(s[0]) for s in (*self.addresses, *self.others)) > self.held and len(self.addresses) < 2 and len(self.others) < 2
 
     def coordinates(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The sorted coordinates held so far, which are forgotten."""
+        """The coordinates held so far, which are forgotten."""
         self._merge()
-        yield from self.sparse
-        self.sparse = []
+        for codes, n in self.addresses:
+            yield codes >> 32, codes & 0xFFFFFFFF, n
+        yield from self.others
+        self.addresses, self.others = [], []
 
     def all(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         yield from self.coordinates()
-        side = HEAD // TILE + 1
         for t, counted in self.tiles.items():
             cells = np.flatnonzero(counted)
-            x, y = (t // side) * TILE + cells // TILE, (t % side) * TILE + cells % TILE
-            yield self.known.by_rank[x], self.known.by_rank[y], counted[cells]
+            yield (t // SIDE) * TILE + cells // TILE, (t % SIDE) * TILE + cells % TILE, counted[cells]
         self.tiles = {}
 
 
@@ -236,17 +265,13 @@ def _named(words: DataFrame) -> DataFrame:
     """Frequent words as level 1: ``id, f, lang, words, heads, tails``."""
 
     def run(langs: list[str], found: list[bytes]):
-        return ([_signed(xxhash.xxh64_intdigest(w, seed(own)) or 1) for own, w in zip(langs, found)],)
+        return ([word_hash(w, seed(own)) - (1 << 64) for own, w in zip(langs, found)],)
 
     made = annotate(words, ["lang", "word", "f"], [F.col("lang"), F.col("word")], run, "id bigint")
     empty = F.array().cast("array<bigint>")
     return made.select("id", "f", "lang", F.array(F.col("word").cast("string")).alias("words"), empty.alias("heads"), empty.alias("tails"))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def known_symbols(level: DataFrame, head: int = HEAD, bits: int = FILTER_BITS) -> Known:
     """Bitmap and ranks of a level (``id, f``); what reaches the driver is at most ``bits / 64`` and ``head`` rows."""
     at = F.col("id").bitwiseAND(F.lit(bits - 1))
@@ -269,38 +294,39 @@ def known_symbols(level: DataFrame, head: int = HEAD, bits: int = FILTER_BITS) -
     return Known(slot, bit.view(np.uint64), ranked, bits)
 
 
-def pair_counts(docs: DataFrame, length: int, known: Known, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``id, first, last, f`` of phrases of ``length`` words: hashes of the phrase and of its two overlapping parts."""
+def pair_counts(docs: DataFrame, length: int, known: Known, least: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``id, first, last, f`` of phrases of ``length`` words and ``least`` occurrences: hashes of the phrase and of its two overlapping parts."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["id", "first", "last", "f"]
+    names = ["first", "last", "f"]
 
-    def batch(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(left), 1 << 16):
-            x, y = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
-            columns = [joined(x, y).view(np.int64), x.view(np.int64), y.view(np.int64), n[at : at + (1 << 16)]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    def batch(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PairCounter(shared.value)
+        counter = PairCounter()
         for block in _blocks(batches, length - 1):
-            inside, parts = block != 0, block
-            for _ in range(length - 2):
-                parts = joined(parts[:-1], parts[1:])
-                inside = inside[:-1] & (block[len(block) - len(parts) :] != 0)
-            if len(parts) < 2:
-                continue
-            good = inside & shared.value.maybe(parts)
+            parts, good = parts_of(block, length - 1)
+            good &= shared.value.maybe(parts)
             at = np.flatnonzero(good[:-1] & good[1:])
-            counter.add(parts[at], parts[at + 1])
+            codes = shared.value.coded(parts)
+            counter.add(codes[at], codes[at + 1])
             if counter.full():
                 for found in counter.coordinates():
                     yield from batch(*found)
         for found in counter.all():
             yield from batch(*found)
 
-    partial = _source(docs, text, lang).mapInArrow(run, "id bigint, first bigint, last bigint, f bigint")
-    return partial.groupBy("id", "first", "last").agg(F.sum("f").alias("f"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in batches:
+            first, last = (shared.value.hashed(found.column(i).to_numpy()) for i in (0, 1))
+            columns = [joined(first, last).view(np.int64), first.view(np.int64), last.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), found.column(2)], names=["id", *names])
+
+    partial = _source(docs, text, lang).mapInArrow(run, "first bigint, last bigint, f bigint")
+    summed = partial.groupBy("first", "last").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return summed.mapInArrow(name, "id bigint, first bigint, last bigint, f bigint")
 
 
 def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> list[DataFrame]:
@@ -308,7 +334,7 @@ def frequent_phrases(docs: DataFrame, words: DataFrame, least: int = LEAST, long
     levels = [durable(_named(words.where(F.col("f") >= least)))]
     for length in range(2, longest + 1):
         before = levels[-1]
-        found = pair_counts(docs, length, known_symbols(before), text, lang).where(F.col("f") >= least)
+        found = pair_counts(docs, length, known_symbols(before), least, text, lang)
         own = before.select(F.col("id").alias("first"), "lang", F.col("words").alias("w"), F.concat("heads", F.array("f")).alias("heads"))
         other = before.select(F.col("id").alias("last"), F.element_at("words", -1).alias("end"), F.concat("tails", F.array("f")).alias("tails"))
         level = found.join(own, "first").join(other, "last")

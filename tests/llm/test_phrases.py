@@ -59,7 +59,7 @@ def corpus(seed: int, n: int = 120):
 @pytest.mark.parametrize("small", [False, True])
 def test_by_hand(spark, monkeypatch, seed, small):
     if small:
-        for name, value in {"_CHUNK": 7, "_BLOCK_TOKENS": 5, "_HELD": 3, "TILE": 2, "DENSE": 2, "HEAD": 4, "FILTER_BITS": 64}.items():
+        for name, value in {"_CHUNK": 7, "_BLOCK_TOKENS": 5, "_HELD": 3, "TILE": 2, "SIDE": 2, "DENSE": 2, "HEAD": 4, "FILTER_BITS": 64}.items():
             monkeypatch.setattr(P, name, value)
     docs = corpus(seed)
     monkeypatch.setattr(P, "known_symbols", lambda level, known=P.known_symbols: known(level, P.HEAD, P.FILTER_BITS))
@@ -75,7 +75,7 @@ def test_counters_at_edges(monkeypatch):
     import numpy as np
     import pyarrow as pa
 
-    for name, value in {"_CHUNK": 7, "_BLOCK_TOKENS": 5, "_HELD": 3, "TILE": 2, "DENSE": 2, "HEAD": 4}.items():
+    for name, value in {"_CHUNK": 7, "_BLOCK_TOKENS": 5, "_HELD": 3, "TILE": 2, "SIDE": 2, "DENSE": 2, "HEAD": 4}.items():
         monkeypatch.setattr(P, name, value)
     docs = [(t, lang or "und") for t, lang in corpus(3, 40) if t]
     whole = Counter()
@@ -83,7 +83,7 @@ def test_counters_at_edges(monkeypatch):
         want, ids = Counter(), []
         for t, lang in docs:
             words = [x for part in P.tokens(t.encode()) for x in part]
-            hashes = [0 if w == P._MARK else P.xxhash.xxh64_intdigest(w, P.seed(lang)) or 1 for w in words]
+            hashes = [0 if w == P._MARK else P.word_hash(w, P.seed(lang)) for w in words]
             ids += hashes
             for i in range(len(hashes) - length + 1):
                 some = np.array(hashes[i : i + length], dtype=np.uint64)
@@ -97,23 +97,18 @@ def test_counters_at_edges(monkeypatch):
         for x in parts:
             packed[(x & 255) >> 6] = packed.get((x & 255) >> 6, 0) | 1 << (x & 63)
         known = P.Known(np.array(list(packed)), np.array(list(packed.values()), dtype=np.uint64), head, 256)
-        counter, got = P.PairCounter(known, 3), Counter()
+        counter, got = P.PairCounter(3), Counter()
 
         def take(found):
-            for x, y, c in zip(*found):
+            for x, y, c in zip(known.hashed(found[0]), known.hashed(found[1]), found[2]):
                 got[int(x), int(y)] += int(c)
 
         batch = pa.RecordBatch.from_arrays([pa.array([lang for _, lang in docs]), pa.array([t.encode() for t, _ in docs])], names=["lang", "text"])
         for block in P._blocks(iter([batch]), length - 1):
-            inside, part = block != 0, block
-            for _ in range(length - 2):
-                part = P.joined(part[:-1], part[1:])
-                inside = inside[:-1] & (block[len(block) - len(part) :] != 0)
-            if len(part) < 2:
-                continue
-            good = inside & known.maybe(part)
-            at = np.flatnonzero(good[:-1] & good[1:])
-            counter.add(part[at], part[at + 1])
+            part, good = P.parts_of(block, length - 1)
+            good &= known.maybe(part)
+            at, codes = np.flatnonzero(good[:-1] & good[1:]), known.coded(part)
+            counter.add(codes[at], codes[at + 1])
             if counter.full():
                 for found in counter.coordinates():
                     take(found)
