@@ -21,6 +21,7 @@ from pulsegate import columns as C
 from pulsegate.functions.ordered import running_totals
 from pulsegate.functions.quantiles import exact_quantiles
 from pulsegate.functions.scalars import logit, ratio, sigmoid
+from pulsegate.operators.boosting import Boosted, Growth, fit_boosted, score_boosted
 from pulsegate.operators.metrics import dwell_weights
 from pulsegate.schema import FORBIDDEN_FEATURE_PATTERN, FORBIDDEN_FEATURES, KPI_FEATURES
 from pulsegate.sources.tables import read_json, write_json
@@ -148,12 +149,15 @@ class RiskModel:
     tuning_partition: str | None = None
     format_version: int = FORMAT_VERSION
     trees: Any = field(default=None, compare=False, repr=False)
+    boosted: Boosted | None = field(default=None, repr=False)
 
     def raw_score(self, df: DataFrame, name: str = C.RAW_SCORE) -> DataFrame:
         """Decision value: linear predictor, or the log-odds of the tree ensemble."""
         if self.kind == "logistic":
             terms = zip(self.coefficients, self.preprocessor.columns())
             return df.withColumn(name, sum((F.lit(c) * x for c, x in terms), F.lit(self.intercept)))
+        if self.boosted is not None:
+            return score_boosted(df, self.preprocessor.columns(), self.boosted, name)
         scored = self.trees.transform(_assemble(df, self.preprocessor))
         p = vector_to_array("probability")[1]
         return scored.withColumn(name, logit(p)).drop("__features", "rawPrediction", "probability", "prediction")
@@ -222,6 +226,10 @@ def _fit(
 ) -> RiskModel:
     prep = fit_preprocessor(rows, features, partition)
     weighted = compose_weights(rows, target, **weights)
+    if kind == "hist_gradient_boosting":
+        growth = Growth(max_iter=max_iter, learning_rate=learning_rate, max_depth=max_depth)
+        boosted = fit_boosted(weighted.withColumn(TARGET, F.col(target).cast("double")), prep.columns(), TARGET, WEIGHT, growth)
+        return RiskModel(kind, prep, partition, seed=seed, boosted=boosted)
     training = _assemble(weighted, prep).select(
         "__features", F.col(target).cast("double").alias(TARGET), F.col(WEIGHT)
     )
@@ -284,8 +292,12 @@ def load_model(spark: SparkSession, path: str, universe: Sequence[str] = KPI_FEA
         raise ValueError(f"unsupported model format: {raw.get('format_version')}")
     prep = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.pop("preprocessor").items()}
     check_features(prep["features"], prep["features"], universe)
+    boosted = raw.pop("boosted", None)
     fields = {k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()}
     model = RiskModel(preprocessor=Preprocessor(**prep), **fields)
+    if boosted:
+        trees = tuple(tuple(tuple(n) for n in t) for t in boosted["trees"])
+        return replace(model, boosted=Boosted(tuple(map(tuple, boosted["thresholds"])), boosted["baseline"], trees))
     if model.kind == "logistic":
         return model
     return replace(model, trees=PipelineModel.load(f"{path}.trees").stages[0])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pulsegate import columns as C
 from pulsegate.functions.scalars import sigmoid
-from pulsegate.operators import scoring
+from pulsegate.operators import boosting, scoring
+from pulsegate.operators.boosting import MAX_BINS
 from pulsegate.operators.metrics import dwell_weights, effective_sample_size
 from pulsegate.plans import sql
 from pulsegate.plans.queries_replay import _DWELL
@@ -117,6 +120,70 @@ def gbt_score(s: Study):
     return scored.groupBy(C.SPLIT).agg(F.count(F.lit(1)).alias("epochs"), F.avg(C.SCORE).alias("mean_score"))
 
 
+_CUTS = f"""{_FEATURES},
+tr AS (SELECT za, zb, zc, is_attack_epoch::INT::DOUBLE AS y FROM zs WHERE {TRAIN}),
+vals AS (SELECT 0 AS feature, za AS x, y FROM tr UNION ALL SELECT 1, zb, y FROM tr UNION ALL SELECT 2, zc, y FROM tr),
+srt AS (SELECT feature, list(x ORDER BY x) AS xs, count(*) AS n, count(DISTINCT x) AS d FROM vals GROUP BY feature),
+dis AS (SELECT feature, list(x ORDER BY x) AS ds FROM (SELECT DISTINCT feature, x FROM vals) GROUP BY feature),
+cuts AS (
+  SELECT feature, (ds[k] + ds[k + 1]) / 2 AS cut FROM dis JOIN srt USING (feature), range(1, {MAX_BINS}) r(k) WHERE d <= {MAX_BINS} AND k < d
+  UNION
+  SELECT feature, (xs[1 + (k * (n - 1)) // {MAX_BINS}] + xs[1 + (k * (n - 1) + {MAX_BINS - 1}) // {MAX_BINS}]) / 2
+  FROM srt, range(1, {MAX_BINS}) r(k) WHERE d > {MAX_BINS})"""
+
+
+def _boosting_rows(s: Study):
+    train = feature_epochs(s).where(F.col(C.SPLIT) == "train")
+    prep = scoring.fit_preprocessor(train, FEATURES, "train")
+    return train.withColumns({"y": F.col(C.IS_ATTACK).cast("double"), "w": F.lit(1.0)}), prep.columns()
+
+
+@query("boosting_bins", f"WITH {_CUTS} SELECT feature, {r6('cut')} FROM cuts")
+def boosting_bins(s: Study):
+    """Thresholds of the booster's bins: half-way points of few values, quantiles of many."""
+    rows, columns = _boosting_rows(s)
+    cuts = boosting.bin_thresholds(rows, columns)
+    return s.spark.createDataFrame([(i, c) for i, own in enumerate(cuts) for c in own], "feature int, cut double")
+
+
+@query(
+    "boosting_root_splits",
+    f"""WITH {_CUTS},
+    p AS (SELECT avg(y) AS p, avg(y) * (1 - avg(y)) AS hess FROM tr),
+    e AS (SELECT feature, cut, count(*) FILTER (x <= cut) AS nl, sum(p - y) FILTER (x <= cut) AS gl, count(*) AS n, sum(p - y) AS g, any_value(hess) AS hess
+          FROM vals JOIN cuts USING (feature), p GROUP BY feature, cut),
+    k AS (SELECT *, gl * gl / (nl * hess + 1) + (g - gl) * (g - gl) / ((n - nl) * hess + 1) - g * g / (n * hess + 1) AS gain
+          FROM e WHERE nl >= 20 AND n - nl >= 20 AND least(nl, n - nl) * hess >= 0.001)
+    SELECT feature, count(*)::BIGINT AS splits, max(nl)::BIGINT AS most_left, round(max(gain), 5) AS best_gain, round(avg(gain), 5) AS mean_gain
+    FROM k GROUP BY feature""",
+)
+def boosting_root_splits(s: Study):
+    """Gain of every split of a booster's first node, from one grouped sum of gradients."""
+    rows, columns = _boosting_rows(s)
+    first = boosting.Boosted(boosting.bin_thresholds(rows, columns), _log_odds(rows))
+    binned = boosting.binned(rows, columns, first, F.col("y"), F.col("w"))
+    gains = boosting.split_gains(boosting.histogram(binned, (), ((-1, 0, 0, 0.0),), [0], len(columns)))
+    return gains.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("splits"),
+        F.max("n_left").alias("most_left"),
+        F.round(F.max("gain"), 5).alias("best_gain"),
+        F.round(F.avg("gain"), 5).alias("mean_gain"),
+    )
+
+
+def _log_odds(rows) -> float:
+    p = rows.agg(F.avg("y")).first()[0]
+    return math.log(p / (1.0 - p))
+
+
+@query("boosted_score")
+def boosted_score(s: Study):
+    """Histogram-boosted sensitivity model of 20 rounds, calibrated and scored per split."""
+    model, df = _fitted(s, "hist_gradient_boosting", balance_classes=True, max_iter=20)
+    scored = scoring.score_frame(model, df, [C.SPLIT])
+    return scored.groupBy(C.SPLIT).agg(F.count(F.lit(1)).alias("epochs"), F.avg(C.SCORE).alias("mean_score"))
+
+
 def _diagnostics_sql(key: str) -> str:
     return f"""WITH {sql.epochs()}, b AS (SELECT {key} AS k, risk_score AS x, is_attack_epoch::INT AS y FROM epochs),
     g AS (SELECT k, x, sum(y) AS p, sum(1 - y) AS q FROM b GROUP BY 1, 2),
