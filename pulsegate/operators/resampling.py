@@ -23,6 +23,8 @@ from pulsegate.session import ship_package
 
 INDEX = "block_idx"
 DEFAULT_SEED = 1729
+# Raw generator values a task draws at once.
+SEGMENT = 1 << 18
 
 
 def block_universe(blocks: DataFrame, block: str = C.BLOCK) -> DataFrame:
@@ -46,30 +48,65 @@ def hash_draws(spark: SparkSession, replicates: int, blocks: int, seed: int = DE
     return slots.select("replicate", F.pmod(number, F.lit(blocks)).cast("int").alias(INDEX))
 
 
-def generator_draws(spark: SparkSession, replicates: int, blocks: int, seed: int = DEFAULT_SEED) -> DataFrame:
+def raw_halves(seed: int, start: int, count: int) -> np.ndarray:
+    """``count`` 32-bit values of the seeded generator from place ``start`` on: it skips ahead, nothing before is drawn."""
+    source = np.random.PCG64(int(seed))
+    source.advance(start // 2)
+    words = source.random_raw((start % 2 + count + 1) // 2)
+    halves = np.empty(2 * len(words), dtype=np.uint64)
+    # The lower half of a word is used first.
+    halves[0::2], halves[1::2] = words & np.uint64(0xFFFFFFFF), words >> np.uint64(32)
+    return halves[start % 2 : start % 2 + count]
+
+
+def accepted_draws(seed: int, start: int, count: int, blocks: int) -> np.ndarray:
+    """Indices below ``blocks`` that the raw values of a segment give.
+
+    Scaling to the range rejects a raw value by itself, whatever came before, so segments can be told apart.
+    """
+    scaled = raw_halves(seed, start, count) * np.uint64(blocks)
+    fair = (scaled & np.uint64(0xFFFFFFFF)) >= np.uint64((1 << 32) % blocks)
+    return (scaled[fair] >> np.uint64(32)).astype(np.int64)
+
+
+def generator_draws(spark: SparkSession, replicates: int, blocks: int, seed: int = DEFAULT_SEED, segment: int = SEGMENT) -> DataFrame:
     """The draws of ``default_rng(seed).integers(0, blocks, (replicates, blocks))``.
 
-    Every task steps the same generator over the replicates before its own, so the
-    matrix is neither built on the driver nor shipped.
+    The raw values of the generator are cut into segments.  A first pass counts the accepted values of each segment, their
+    prefix sum says which draws a segment holds, and tasks skip ahead to their segments: work is linear in the draws.
+    One number per segment reaches the driver.
     """
-    if blocks < 2:
-        raise ValueError("the block bootstrap needs at least two blocks")
+    if not 2 <= blocks < 1 << 32:
+        raise ValueError("the block bootstrap needs at least two blocks, fewer than 2 ** 32")
     ship_package(spark)
+    total = replicates * blocks
+    rejected = (1 << 32) % blocks / (1 << 32)
+    wanted = total / (1.0 - rejected) + 8.0 * (total * rejected) ** 0.5 + 64
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, done = np.random.default_rng(int(seed)), 0
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for replicate in batch["id"]:
-                while done < replicate:
-                    skip = min(int(replicate) - done, 4096)
-                    rng.integers(0, blocks, size=(skip, blocks))
-                    done += skip
-                drawn = rng.integers(0, blocks, size=blocks)
-                done += 1
-                yield pd.DataFrame({"replicate": np.full(blocks, replicate), INDEX: drawn.astype(np.int32)})
-
-    ids = spark.range(0, replicates, 1, _task_count(spark, replicates))
-    return ids.mapInPandas(run, f"replicate long, {INDEX} int")
+            sizes = [len(accepted_draws(seed, k * segment, segment, blocks)) for k in batch["id"].tolist()]
+            yield pd.DataFrame({"id": batch["id"], "n": np.array(sizes, dtype=np.int64)})
+
+    before, at, done = [], 0, 0
+    while at < total:
+        more = max(1, int(-(-wanted // segment)) - done)
+        ids = spark.range(done, done + more, 1, _task_count(spark, more))
+        sizes = {r["id"]: r["n"] for r in ids.mapInPandas(count, "id long, n long").collect()}
+        for k in range(done, done + more):
+            before.append((k, at))
+            at += sizes[k]
+        done += more
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, first in zip(batch["id"].tolist(), batch["first"].tolist()):
+                drawn = accepted_draws(seed, k * segment, segment, blocks)[: max(0, total - first)]
+                place = first + np.arange(len(drawn), dtype=np.int64)
+                yield pd.DataFrame({"replicate": place // blocks, INDEX: drawn.astype(np.int32)})
+
+    segments = spark.createDataFrame(before or [(0, total)], "id long, first long").repartition(_task_count(spark, max(1, len(before))), "id")
+    return segments.mapInPandas(draw, f"replicate long, {INDEX} int")
 
 
 def draw_fingerprint(replicates: int, blocks: int, seed: int = DEFAULT_SEED) -> str:

@@ -362,6 +362,9 @@ def stage_report(w: Workspace) -> dict[str, Any]:
     streams = {C.ANY_ATTACK: "intervals", **{a: Ontology.slug(a) for a in w.ontology.attacks}}
     found = [w.read(f"inference_{tag}").withColumn("attack_type", F.lit(a)) for a, tag in streams.items()]
     out["robustness"] = reduce(DataFrame.unionByName, found)
+    proposed, reference = _policies(w)
+    classes = out["robustness"].where(F.col("attack_type") != C.ANY_ATTACK)
+    out["per_attack"] = reports.per_attack_table(w.read("episode_summary"), classes, proposed, reference, w.ontology.attacks)
     digests = {}
     for name, df in out.items():
         tables.write_report_csv(df, w.path(f"table_{name}.csv"))

@@ -165,6 +165,21 @@ def test_generator_draws_repeat_numpy(spark):
     assert boot.draw_fingerprint(37, 11, 1729) == hashlib.sha256(want.tobytes()).hexdigest()
 
 
+@pytest.mark.parametrize("blocks", [2, 3, 64, 1000, 3_000_000_000, (1 << 31) + 7])
+def test_segments_skip_ahead_and_reject_like_numpy(blocks):
+    """Ranges just above a power of two reject about half of the raw values."""
+    want = np.random.default_rng(7).integers(0, blocks, size=500)
+    parts = [boot.accepted_draws(7, at, 101, blocks) for at in range(0, 1515, 101)]
+    assert np.concatenate(parts)[:500].tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("segment", [7, 64, 1 << 18])
+def test_generator_draws_keep_their_replicate(spark, segment):
+    got = boot.generator_draws(spark, 23, 13, 5, segment).groupBy("replicate").agg(F.collect_list("block_idx").alias("b")).collect()
+    want = np.random.default_rng(5).integers(0, 13, size=(23, 13))
+    assert {r["replicate"]: sorted(r["b"]) for r in got} == {i: sorted(w.tolist()) for i, w in enumerate(want)}
+
+
 def test_contrast_intervals_match_numpy(spark):
     rng = np.random.default_rng(1)
     n, blocks = 300, 12

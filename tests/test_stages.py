@@ -93,4 +93,8 @@ def test_every_stage(space):
     assert diagnostics.loc["test", "auroc"] > 0.7
     heldout = w.spark.read.option("header", True).csv(w.path("table_heldout.csv"))
     assert heldout.count() == len(w.lock().specs)
+    attacks = w.spark.read.option("header", True).csv(w.path("table_per_attack.csv")).toPandas()
+    assert set(attacks["attack_type"]) == set(w.ontology.attacks)
+    for r in attacks.itertuples():
+        assert float(r.proposal_exposure_pct) - float(r.reference_exposure_pct) == pytest.approx(float(r.exposure_difference_pp), abs=1e-3)
     assert w.read("matched_candidates").where("benign_friction > friction_budget + 1e-12").count() == 0
