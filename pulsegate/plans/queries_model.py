@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from pulsegate import columns as C
+from pulsegate.config import CandidateSpec, TraceRule
 from pulsegate.functions.scalars import sigmoid
 from pulsegate.operators import boosting, scoring
 from pulsegate.operators.boosting import MAX_BINS
@@ -15,7 +16,8 @@ from pulsegate.plans import sql
 from pulsegate.plans.queries_replay import _DWELL
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
-from pulsegate.plans.study import LOCKED, PROPOSED, Study
+from pulsegate.plans.study import EPOCH, LOCKED, PROPOSED, RULE, Study
+from pulsegate.sources.events import saturating_score
 from pulsegate.streaming import online
 
 FEATURES = ("last_value", "score_x2", "samples")
@@ -213,6 +215,18 @@ def sigmoid_scores(s: Study):
 
 # -- streaming ------------------------------------------------------------------------------
 
+# Event time that an entity's reports of the state store are folded by: thirty epochs at most.
+STREAM_SLICE_S = 30 * EPOCH
+# Leases of a stream are cut by silence of their entity alone: one block holds the whole timeline.
+UNCUT = TraceRule(
+    gap_seconds=1e10, max_block_seconds=1e10, lease_gap_seconds=RULE.lease_gap_seconds, epoch_seconds=RULE.epoch_seconds
+)
+
+
+def proposed_spec() -> CandidateSpec:
+    return next(x for x in LOCKED if x.candidate == PROPOSED)
+
+
 
 def _event_stream(s: Study):
     schema = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").schema
@@ -255,11 +269,40 @@ def session_stream(s: Study):
     ),
 )
 def stateful_stream(s: Study):
-    """The proposed controller over a stream of epochs, state kept per entity."""
+    """The proposed controller over a stream of epochs, state kept per entity.
+
+    The whole table is one trigger; an entity's epochs wait in the state store, slice by slice.
+    """
     folder = online.stream_folder(s.spark)
-    inputs = s.epochs.select(C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE)
+    at = F.timestamp_micros((F.col(C.DECISION_TIME) * 1e6).cast("long")).alias("at")
+    inputs = s.epochs.select(C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE, at)
     inputs.write.parquet(f"{folder}/epochs")
     s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
     stream = online.read_event_stream(s.spark, f"{folder}/epochs", inputs.schema, files_per_trigger=10_000)
-    spec = next(x for x in LOCKED if x.candidate == PROPOSED)
-    return online.run_to_table(online.online_decisions(stream, spec), folder)
+    return online.run_closed(
+        stream, lambda epochs: online.ordered_decisions(epochs, proposed_spec(), STREAM_SLICE_S, "1 hour"), folder
+    )
+
+
+@query(
+    "chained_stream",
+    with_recursive(
+        sql.trace([x for x in LOCKED if x.candidate == PROPOSED], rule=UNCUT),
+        f"""SELECT mac_rnti, substr(rnti_lease_id, strpos(rnti_lease_id, ':') + 1) AS rnti_lease_id, {r6('decision_time_s')}, candidate,
+        previous_state, decision_state AS state, {r6('evidence_score')}, pos = 1 AS lifecycle_start FROM trace""",
+    ),
+)
+def chained_stream(s: Study):
+    """Raw reports to epochs, leases and decisions in one streaming query of two stateful operators."""
+    s.spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    schema = s.spark.read.parquet(f"{s.sf_dir}/events.parquet").schema
+    stream = online.read_event_stream(s.spark, s.sf_dir, schema, glob="events.parquet").select(
+        F.col("user_id").alias(C.SUBJECT), F.col("ts").cast("timestamp").alias("at"), saturating_score("value").alias(C.SCORE)
+    )
+    return online.run_closed(
+        stream,
+        lambda reports: online.chained_decisions(
+            reports, proposed_spec(), "4 hours", UNCUT.lease_gap_seconds, STREAM_SLICE_S, "1 hour"
+        ),
+        online.stream_folder(s.spark),
+    )

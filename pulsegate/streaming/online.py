@@ -1,7 +1,9 @@
 """Structured Streaming twins: tumbling epochs, session leases, the online controller.
 
 The controller keeps one state record per entity in the state store, so a stream of any
-length holds one small record per live entity.
+length holds one small record per live entity.  Where a trigger may bring any number of
+reports of an entity, :func:`ordered_decisions` parks them in slices of event time and
+folds a slice when the watermark has passed it.
 """
 
 from __future__ import annotations
@@ -169,6 +171,136 @@ def online_decisions(reports: DataFrame, spec: CandidateSpec) -> DataFrame:
     )
 
 
+# Batches reach the controller as named tuples, which take no leading underscore.
+MILLIS, FIRST, LAST = "at_ms", "first_s", "last_s"
+_SLICE_FIELDS = "times array<double>, scores array<double>, leases array<string>, firsts array<double>, lasts array<double>"
+
+
+class OrderedController(OnlineController):
+    """Folds an entity's reports slice by slice of event time, each when the watermark has passed it.
+
+    Arriving Arrow batches go to the state store at once, under their slice, and a timer is set at the
+    slice's end.  Memory follows the reports of one slice and entity, however many a trigger brings, and
+    the decisions do not depend on how reports are spread over triggers.  With ``lease_gap_s``, leases are
+    told by silence between reports instead of being given.
+    """
+
+    def __init__(self, spec: CandidateSpec, slice_ms: int, lease_gap_s: float | None = None):
+        super().__init__(spec)
+        self.slice_ms, self.lease_gap_s = slice_ms, lease_gap_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "slice long", "n int")
+        self.parked = handle.getMapState("parked", "slice long, part int", _SLICE_FIELDS)
+        self.lease = handle.getValueState("lease", "number long, last_s double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for at, own in batch.groupby(batch[MILLIS].to_numpy() // self.slice_ms):
+                held = self.parts.getValue((int(at),))
+                part = 0 if held is None else held[0]
+                if not part:
+                    self.handle.registerTimer(int(at + 1) * self.slice_ms)
+                columns = (C.DECISION_TIME, C.SCORE, C.LEASE, FIRST, LAST)
+                self.parked.updateValue((int(at), part), tuple(_plain(own[c]) for c in columns))
+                self.parts.updateValue((int(at),), (part + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms - 1
+        pieces = []
+        for part in range(self.parts.getValue((at,))[0]):
+            pieces.append(self.parked.getValue((at, part)))
+            self.parked.removeKey((at, part))
+        self.parts.removeKey((at,))
+        names = (C.DECISION_TIME, C.SCORE, C.LEASE, FIRST, LAST)
+        whole = pd.DataFrame({n: [v for piece in pieces for v in piece[i]] for i, n in enumerate(names)})
+        # Ties in time are settled by content, so that arrival does not show.
+        whole = whole.sort_values([C.DECISION_TIME, C.LEASE, C.SCORE], kind="stable", ignore_index=True)
+        if self.lease_gap_s is not None:
+            whole[C.LEASE] = self._leases(key[0], whole)
+        yield from super().handleInputRows(key, iter([whole]), timerValues)
+
+    def _leases(self, subject: int, whole: pd.DataFrame) -> list[str]:
+        number, last = self.lease.get() if self.lease.exists() else (0, None)
+        before = np.r_[np.nan if last is None else last, whole[LAST].to_numpy(dtype=float)[:-1]]
+        opens = whole[FIRST].to_numpy(dtype=float) - before > self.lease_gap_s
+        numbers = number + np.cumsum(opens)
+        self.lease.update((int(numbers[-1]), float(whole[LAST].iloc[-1])))
+        return [f"{subject}:{n}" for n in numbers]
+
+
+def _plain(values: pd.Series) -> list:
+    """Python values, as the state store takes them; missing ones are None."""
+    return [None if v is None or v != v else v for v in values.tolist()]
+
+
+def _watched(reports: DataFrame, at: str, lateness: str) -> DataFrame:
+    """Scored reports under a watermark; rows without an entity only move it, as the closing marker does.
+
+    The condition names the event time, so it is not pushed below the watermark.
+    """
+    known = F.col(C.SUBJECT).isNotNull() | F.col(at).isNull()
+    return checked_scores(reports).withWatermark(at, lateness).where(known)
+
+
+def _ordered(rows: DataFrame, spec: CandidateSpec, slice_seconds: float, lease_gap_s: float | None) -> DataFrame:
+    ship_package(rows.sparkSession)
+    return rows.groupBy(C.SUBJECT).transformWithStateInPandas(
+        statefulProcessor=OrderedController(spec, int(slice_seconds * 1000), lease_gap_s),
+        outputStructType=DECISION_SCHEMA,
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+
+
+def ordered_decisions(
+    reports: DataFrame, spec: CandidateSpec, slice_seconds: float, lateness: str, at: str = "at"
+) -> DataFrame:
+    """Decisions for reports with entity, lease, decision time, score and event time ``at``, which may come
+    in any order within ``lateness`` and in triggers of any size.
+
+    Undecided reports wait until the watermark passes their slice: run it with :func:`run_closed`.
+    """
+    nothing = F.lit(None).cast("double")
+    named = (C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE, at)
+    rows = _watched(reports, at, lateness).select(*named, F.unix_millis(at).alias(MILLIS))
+    return _ordered(rows.withColumns({FIRST: nothing, LAST: nothing}), spec, slice_seconds, None)
+
+
+def chained_decisions(
+    reports: DataFrame,
+    spec: CandidateSpec,
+    width: str,
+    lease_gap_s: float,
+    slice_seconds: float,
+    lateness: str,
+    at: str = "at",
+) -> DataFrame:
+    """Reports (entity, score, ``at``) to epochs, leases and decisions under one watermark.
+
+    Epochs are windows closed by the watermark and carry their last score; they flow into the controller of
+    their entity, which opens a lease after more than ``lease_gap_s`` without a report.  A lease is named
+    ``entity:number``.
+    """
+    score = F.max_by(C.SCORE, F.struct(at, C.SCORE)).alias(C.SCORE)
+    seconds = lambda c: F.unix_micros(c) / F.lit(1e6)
+    ends = [F.min(at).alias("__first"), F.max(at).alias("__last")]
+    epochs = _watched(reports, at, lateness).groupBy(F.window(at, width), C.SUBJECT).agg(score, *ends)
+    rows = epochs.select(
+        C.SUBJECT,
+        F.lit(None).cast("string").alias(C.LEASE),
+        seconds("window.end").alias(C.DECISION_TIME),
+        C.SCORE,
+        F.window_time("window").alias(at),
+        seconds("__first").alias(FIRST),
+        seconds("__last").alias(LAST),
+    )
+    return _ordered(rows.withColumn(MILLIS, F.unix_millis(at)), spec, slice_seconds, lease_gap_s)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", **options: str) -> DataFrame:
     """Consume everything available, write Parquet exactly once, return the table.
 

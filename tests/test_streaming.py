@@ -88,3 +88,82 @@ def test_late_reports_fail_the_run(spark, tmp_path):
     _events(source, [[1, 2], [600], [601], [3]])
     with pytest.raises(TraceError, match="late"):
         online.run_to_table(online.tumbling_epochs(_stream(spark, source), "1 hour", "30 minutes"), str(tmp_path / "out"))
+
+
+BASE = 1_704_067_200
+
+
+def _reports(folder, rows, parts):
+    """Files of (entity, lease, decision time, score, at); rows are dealt over the parts in order.
+
+    Event times lie after 1970, where the watermark starts.
+    """
+    import os
+
+    for number, part in enumerate(np.array_split(np.arange(len(rows)), parts)):
+        pdf = pd.DataFrame([rows[i] for i in part], columns=[C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE])
+        pdf["at"] = pd.to_datetime(((BASE + pdf[C.DECISION_TIME]) * 1e6).astype("int64"), unit="us", utc=True).astype("datetime64[us, UTC]")
+        path = folder / f"part-{number}.parquet"
+        pdf.to_parquet(path)
+        os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_decisions_do_not_depend_on_triggers(spark, tmp_path, parts):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    rng = np.random.default_rng(8)
+    score = lambda i: None if i % 9 == 4 else float("nan") if i % 11 == 7 else float(np.round(rng.random(), 2))
+    rows = [(int(rng.integers(0, 3)), f"L{i // 60}", float(i), score(i)) for i in range(150)]
+    # Out of order by up to eight seconds, within the lateness; the last slice is closed by the end of the stream.
+    shuffled = [rows[i] for i in np.argsort(np.arange(len(rows)) + rng.uniform(0, 8, len(rows)))]
+    source = tmp_path / "in"
+    source.mkdir()
+    _reports(source, shuffled, parts)
+    stream = online.read_event_stream(spark, str(source), spark.read.parquet(str(source)).schema)
+    build = lambda e: online.ordered_decisions(e, SPEC, 7.0, "10 seconds")
+    got = online.run_closed(stream, build, str(tmp_path / "out")).collect()
+    assert len(got) == len(rows)
+    for subject in range(3):
+        own = [(r[1], r[2], r[3]) for r in rows if r[0] == subject]
+        want = walk_controller(SPEC.rule(), own)
+        mine = sorted((r for r in got if r[C.SUBJECT] == subject), key=lambda r: r[C.DECISION_TIME])
+        assert [(r["previous_state"], r["state"], r["lifecycle_start"]) for r in mine] == [(w[0], w[1], w[3]) for w in want]
+
+
+def test_reports_behind_a_folded_slice_fail_the_run(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    source = tmp_path / "in"
+    source.mkdir()
+    _reports(source, [(1, "L", 5.0, 0.1), (1, "L", 90.0, 0.1), (1, "L", 91.0, 0.1), (1, "L", 6.0, 0.1)], 4)
+    stream = online.read_event_stream(spark, str(source), spark.read.parquet(str(source)).schema)
+    with pytest.raises(TraceError, match="late"):
+        online.run_closed(stream, lambda e: online.ordered_decisions(e, SPEC, 7.0, "10 seconds"), str(tmp_path / "out"))
+
+
+def test_chain_of_epochs_leases_and_decisions(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", online.ROCKS)
+    rng = np.random.default_rng(9)
+    # Entity 1 is silent from 40 to 75: a second lease.
+    rows = [(k % 2, "", float(t), float(np.round(rng.random(), 2))) for k, t in enumerate(range(120)) if k % 2 == 0 or not 40 < t < 75]
+    source = tmp_path / "in"
+    source.mkdir()
+    _reports(source, rows, 4)
+    stream = online.read_event_stream(spark, str(source), spark.read.parquet(str(source)).schema)
+    stream = stream.select(C.SUBJECT, C.SCORE, "at")
+    build = lambda e: online.chained_decisions(e, SPEC, "5 seconds", 20.0, 12.0, "3 seconds")
+    got = online.run_closed(stream, build, str(tmp_path / "out")).collect()
+    for subject in range(2):
+        epochs: dict[float, tuple[float, float, float]] = {}
+        for _, _, t, x in (r for r in rows if r[0] == subject):
+            end = (t // 5 + 1) * 5
+            epochs[end] = (epochs.get(end, (t,))[0], t, x)
+        number, before, own = 0, None, []
+        for end, (first, last, x) in sorted(epochs.items()):
+            number += before is not None and first - before > 20.0
+            before = last
+            own.append((f"{subject}:{number}", end, x))
+        want = walk_controller(SPEC.rule(), own)
+        mine = sorted((r for r in got if r[C.SUBJECT] == subject), key=lambda r: r[C.DECISION_TIME])
+        assert [(r[C.LEASE], r[C.DECISION_TIME] - BASE) for r in mine] == [o[:2] for o in own]
+        assert [(r["previous_state"], r["state"], r["lifecycle_start"]) for r in mine] == [(w[0], w[1], w[3]) for w in want]
+    assert {r[C.LEASE] for r in got} == {"0:0", "1:0", "1:1"}
