@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegate import columns as C
+from pulsegate.functions.quantiles import exact_quantiles
 
 # Display order and label of every policy family.
 FAMILY_ORDER = {
@@ -241,16 +242,22 @@ def robustness_table(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def timing_summary(samples: DataFrame, by: Sequence[str], value: str = "elapsed_s") -> DataFrame:
-    """Median, mean, deviation, range, percentiles and CV of repeated timings."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.05, 0.25, 0.75, 0.95))))
-    out = samples.groupBy(*by).agg(
+    """Median, mean, deviation, range, percentiles and CV of repeated timings.
+
+    Quantiles are exact and come from counted values ranked over range partitions: a group's samples never
+    meet in one buffer, however many there are.  A group without samples has NULL quantiles.
+    """
+    moments = samples.groupBy(*by).agg(
         F.count(F.lit(1)).alias("repetitions"),
-        F.median(value).alias("median_s"),
         F.avg(value).alias("mean_s"),
         F.stddev_samp(value).alias("stdev_s"),
         F.min(value).alias("min_s"),
         F.max(value).alias("max_s"),
-        q.alias("__q"),
     )
-    cols = {f"p{p:02d}_s": F.col("__q")[i] for i, p in enumerate((5, 25, 75, 95))}
-    return out.withColumns(cols | {"cv": F.try_divide("stdev_s", "mean_s")}).drop("__q")
+    ranked = exact_quantiles(samples, by, value, (0.5, 0.05, 0.25, 0.75, 0.95)).drop("n")
+    ranked = ranked.withColumnsRenamed({k: f"__of_{k}" for k in by})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`__of_{k}`")) for k in by]
+    out = moments.join(ranked, same, "left")
+    names = ("median_s", "p05_s", "p25_s", "p75_s", "p95_s")
+    cols = {name: F.col("q")[i] for i, name in enumerate(names)}
+    return out.withColumns(cols | {"cv": F.try_divide("stdev_s", "mean_s")}).drop("q", *[f"__of_{k}" for k in by])
