@@ -60,13 +60,14 @@ _PEM = (
     rf"|(?:{_BREAK}*[A-Z][A-Za-z]*(?:-[A-Za-z]+)*: [^\r\n\\]*)*(?:{_BREAK}*[A-Za-z0-9+/=]{{16,}})*"
     rf"(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/=]+)?)"
 )
+_SEGMENT, _REST = r"eyJ[A-Za-z0-9_-]+", r"\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 # Public token formats, added by this operator.
 ADDED = (
     Rule("pem", _PEM, 1, version=2),
     Rule("vcs", r"gh[opsur]_[A-Za-z0-9]+", 36),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    Rule("jwt", _SEGMENT + _REST, 30),
 )
 RULES = BASE + ADDED
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -81,6 +82,10 @@ def _searchers(rules: Sequence[Rule]):
         if rule in BASE[1:]:
             # One class repeated: a failing match holds no longer match inside it.
             pattern = pattern[:-1] + "{%d,}" % (rule.least - 4 * (rule.name == "access"))
+        if pattern == _SEGMENT + _REST:
+            # A first segment that fails is taken whole, as every later start inside it meets the same end:
+            # long runs of its prefix cost linear time.  Such a match lacks the group.
+            pattern = f"{_SEGMENT}(?P<whole>{_REST})?"
         out.append((rule, re.compile(pattern)))
     return out
 
@@ -90,7 +95,7 @@ def find_spans(text: str | None, rules: Sequence[Rule] = RULES, compiled=None) -
     found = []
     for rank, (rule, pattern) in enumerate(compiled or _searchers(rules)):
         for m in pattern.finditer(text or ""):
-            if m.end(rule.group) - m.start(rule.group) >= rule.least:
+            if m.end(rule.group) - m.start(rule.group) >= rule.least and m.groupdict("").get("whole") != "":
                 found.append((m.start(), rank, rule.name, m.end()))
     return [(name, a, b) for a, _, name, b in sorted(found)]
 

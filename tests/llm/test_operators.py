@@ -103,6 +103,25 @@ def test_spans(seed):
     assert secret_ledger.find_spans(text) == brute_spans(text)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_spans_of_web_tokens(seed):
+    rng = random.Random(seed)
+    parts = ["eyJ", "eyJ", "a", "b_-9" * 3, ".", ".", ".eyJ", " ", "+", "é"]
+    text = "".join(rng.choice(parts) for _ in range(120))
+    assert secret_ledger.find_spans(text) == brute_spans(text)
+
+
+@pytest.mark.parametrize("tail", ["", ".", ".eyJabc", ".eyJabc. "])
+def test_long_runs_of_a_token_prefix_take_linear_time(tail):
+    import time
+
+    started = time.process_time()
+    assert [s for s in secret_ledger.find_spans("eyJ" * 700_000 + tail) if s[0] == "jwt"] == []
+    assert time.process_time() - started < 20
+    whole = "eyJ" * 700_000 + ".eyJabc.sig"
+    assert ("jwt", 0, len(whole)) in secret_ledger.find_spans(whole)
+
+
 def test_ledger_is_incremental(spark):
     first = spark.createDataFrame([(1, "secret: abcdefghij"), (2, "nothing"), (3, "secret: abcdefghij"), (4, None)], "path long, text string")
     old = secret_ledger.RULES[:3]
