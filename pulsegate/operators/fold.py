@@ -163,11 +163,20 @@ class SortedFold:
             raise ValueError("nothing folded yet")
         return self._open[0]
 
-    def run(self, first: np.ndarray, t: np.ndarray, x: np.ndarray) -> FoldResult:
-        """``first`` marks the rows that open a lease; row 0 may continue the open one."""
+    def run(
+        self, first: np.ndarray, t: np.ndarray, x: np.ndarray, held: tuple[np.ndarray, FoldState] | None = None
+    ) -> FoldResult:
+        """``first`` marks the rows that open a lease; row 0 may continue the open one.
+
+        ``held`` are rows that continue stored leases, and their states; actions in force before them
+        are not known (ALLOW).  ``ended`` then has the state of every lease of the batch, in row order.
+        """
         n, c = len(t), len(self.rules)
-        starts = np.flatnonzero(first)
-        continued = n > 0 and not first[0]
+        opens = np.array(first, dtype=bool)
+        if held is not None:
+            opens[held[0]] = True
+        starts = np.flatnonzero(opens)
+        continued = n > 0 and not opens[0]
         if continued:
             starts = np.r_[0, starts]
         lengths = np.diff(np.r_[starts, n])
@@ -187,6 +196,10 @@ class SortedFold:
             state.put(at, carried)
             acted[at], before[at] = carried_acted, carried_before
             decided[at] = carried.state
+        if held is not None:
+            place = np.zeros(n, dtype=np.int64)
+            place[starts] = np.arange(len(starts))
+            state.put(place[held[0]], held[1])
 
         shape = (n, c)
         out = FoldResult(
@@ -212,4 +225,5 @@ class SortedFold:
         if n:
             last = np.flatnonzero(starts == starts.max())
             self._open = (state.take(last), acted[last], before[last])
+        self.ended = state.take(np.argsort(starts))
         return out

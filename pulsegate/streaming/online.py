@@ -2,8 +2,8 @@
 
 The controller keeps one state record per entity in the state store, so a stream of any
 length holds one small record per live entity.  Where a trigger may bring any number of
-reports of an entity, :func:`ordered_decisions` parks them in slices of event time and
-folds a slice when the watermark has passed it.
+reports of an entity, :func:`ordered_decisions` parks them in slices of event time, shard by
+shard of entities, and folds a slice when the watermark has passed it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,29 +173,30 @@ def online_decisions(reports: DataFrame, spec: CandidateSpec) -> DataFrame:
 
 
 # Batches reach the controller as named tuples, which take no leading underscore.
-MILLIS, FIRST, LAST = "at_ms", "first_s", "last_s"
-_SLICE_FIELDS = "times array<double>, scores array<double>, leases array<string>, firsts array<double>, lasts array<double>"
+MILLIS, FIRST, LAST, SHARD = "at_ms", "first_s", "last_s", "shard"
+_PARKED = [C.SUBJECT, C.DECISION_TIME, C.SCORE, C.LEASE, FIRST, LAST]
+# Shards of entities that the ordered controller keeps apart.
+SHARDS = 256
 
 
-class OrderedController(OnlineController):
-    """Folds an entity's reports slice by slice of event time, each when the watermark has passed it.
+class OrderedController(StatefulProcessor):
+    """Folds the reports of a shard of entities slice by slice of event time, each when the watermark has passed it.
 
     Arriving Arrow batches go to the state store at once, under their slice, and a timer is set at the
-    slice's end.  Memory follows the reports of one slice and entity, however many a trigger brings, and
-    the decisions do not depend on how reports are spread over triggers.  With ``lease_gap_s``, leases are
-    told by silence between reports instead of being given.
+    slice's end.  All entities of the shard are folded together, so a slice costs a few state calls and as
+    many numpy steps as its longest lease, whatever the number of entities.  Memory follows the reports of one
+    slice and shard, however many a trigger brings, and the decisions do not depend on how reports are spread
+    over triggers.  With ``lease_gap_s``, leases are told by silence between reports instead of being given.
     """
 
     def __init__(self, spec: CandidateSpec, slice_ms: int, lease_gap_s: float | None = None):
-        super().__init__(spec)
-        self.slice_ms, self.lease_gap_s = slice_ms, lease_gap_s
+        self.spec, self.slice_ms, self.lease_gap_s = spec, slice_ms, lease_gap_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
         self.handle = handle
         self.parts = handle.getMapState("parts", "slice long", "n int")
-        self.parked = handle.getMapState("parked", "slice long, part int", _SLICE_FIELDS)
-        self.lease = handle.getValueState("lease", "number long, last_s double")
+        self.parked = handle.getMapState("parked", "slice long, part int", "rows binary")
+        self.held = handle.getValueState("held", "entities binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for batch in rows:
@@ -203,8 +205,7 @@ class OrderedController(OnlineController):
                 part = 0 if held is None else held[0]
                 if not part:
                     self.handle.registerTimer(int(at + 1) * self.slice_ms)
-                columns = (C.DECISION_TIME, C.SCORE, C.LEASE, FIRST, LAST)
-                self.parked.updateValue((int(at), part), tuple(_plain(own[c]) for c in columns))
+                self.parked.updateValue((int(at), part), (_packed(own[_PARKED]),))
                 self.parts.updateValue((int(at),), (part + 1,))
         return iter(())
 
@@ -212,29 +213,105 @@ class OrderedController(OnlineController):
         at = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms - 1
         pieces = []
         for part in range(self.parts.getValue((at,))[0]):
-            pieces.append(self.parked.getValue((at, part)))
+            pieces.append(_unpacked(self.parked.getValue((at, part))[0]))
             self.parked.removeKey((at, part))
         self.parts.removeKey((at,))
-        names = (C.DECISION_TIME, C.SCORE, C.LEASE, FIRST, LAST)
-        whole = pd.DataFrame({n: [v for piece in pieces for v in piece[i]] for i, n in enumerate(names)})
         # Ties in time are settled by content, so that arrival does not show.
-        whole = whole.sort_values([C.DECISION_TIME, C.LEASE, C.SCORE], kind="stable", ignore_index=True)
+        order = [C.SUBJECT, C.DECISION_TIME, C.LEASE, C.SCORE]
+        whole = pd.concat(pieces, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        yield self._fold(whole)
+
+    def _fold(self, whole: pd.DataFrame) -> pd.DataFrame:
+        subject = whole[C.SUBJECT].to_numpy(dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, subject[1:] != subject[:-1]])
+        ends = np.r_[starts[1:], len(subject)] - 1
+        own = subject[starts]
+        stored = _unpacked(self.held.get()[0]) if self.held.exists() else None
+        known, before = np.zeros(len(own), dtype=bool), None
+        if stored is not None:
+            names = stored[C.SUBJECT].to_numpy()
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            known, before = names[at] == own, stored.iloc[at]
+        numbers = np.zeros(len(own), dtype=np.int64)
         if self.lease_gap_s is not None:
-            whole[C.LEASE] = self._leases(key[0], whole)
-        yield from super().handleInputRows(key, iter([whole]), timerValues)
+            if before is not None:
+                numbers = np.where(known, before["number"], 0)
+            last = np.r_[np.nan, whole[LAST].to_numpy(dtype=float)[:-1]]
+            last[starts] = np.nan if before is None else np.where(known, before["ended_s"], np.nan)
+            opened = np.cumsum(whole[FIRST].to_numpy(dtype=float) - last > self.lease_gap_s)
+            base = numbers - np.r_[0, opened[ends[:-1]]]
+            numbered = opened + np.repeat(base, ends - starts + 1)
+            whole[C.LEASE] = [f"{s}:{n}" for s, n in zip(subject.tolist(), numbered.tolist())]
+            numbers = numbered[ends]
+        leases = whole[C.LEASE].to_numpy(dtype=object)
+        fresh = np.r_[True, leases[1:] != leases[:-1]]
+        fresh[starts] = True
+        fold, t = SortedFold([self.spec.rule()]), whole[C.DECISION_TIME].to_numpy(dtype=float)
+        goes_on = known.copy()
+        if before is not None:
+            goes_on &= before[C.LEASE].to_numpy(dtype=object) == leases[starts]
+            fresh[starts] = ~goes_on
+        held = (starts[goes_on], _states(before.iloc[np.flatnonzero(goes_on)])) if goes_on.any() else None
+        result = fold.run(fresh, t, whole[C.SCORE].to_numpy(dtype=float), held)
+
+        opens = fresh.copy()
+        opens[starts] = True
+        final = fold.ended.take(np.cumsum(opens)[ends] - 1)
+        ended_s = whole[LAST].to_numpy(dtype=float)[ends]
+        kept = pd.DataFrame({C.SUBJECT: own, C.LEASE: leases[ends], "number": numbers, "ended_s": ended_s, **_flat(final)})
+        if stored is not None:
+            kept = pd.concat([stored[~np.isin(stored[C.SUBJECT].to_numpy(), own)], kept], ignore_index=True)
+        self.held.update((_packed(kept.sort_values(C.SUBJECT, ignore_index=True)),))
+
+        evidence = result.evidence[:, 0]
+        return pd.DataFrame(
+            {
+                C.SUBJECT: subject,
+                C.LEASE: leases,
+                C.DECISION_TIME: t,
+                C.CANDIDATE: self.spec.candidate,
+                "previous_state": result.previous[:, 0].astype("int32"),
+                "state": result.decision[:, 0].astype("int32"),
+                "evidence_score": pd.array(evidence, dtype="Float64"),
+                "lifecycle_start": fresh,
+            }
+        ).assign(evidence_score=lambda f: f["evidence_score"].mask(np.isnan(evidence)))
+
+    def close(self) -> None:
+        return None
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, which the state store keeps as bytes."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def _leases(self, subject: int, whole: pd.DataFrame) -> list[str]:
-        number, last = self.lease.get() if self.lease.exists() else (0, None)
-        before = np.r_[np.nan if last is None else last, whole[LAST].to_numpy(dtype=float)[:-1]]
-        opens = whole[FIRST].to_numpy(dtype=float) - before > self.lease_gap_s
-        numbers = number + np.cumsum(opens)
-        self.lease.update((int(numbers[-1]), float(whole[LAST].iloc[-1])))
-        return [f"{subject}:{n}" for n in numbers]
 
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all().to_pandas()
 
-def _plain(values: pd.Series) -> list:
-    """Python values, as the state store takes them; missing ones are None."""
-    return [None if v is None or v != v else v for v in values.tolist()]
+
+def _flat(s: FoldState) -> dict[str, np.ndarray]:
+    """Columns of the state of one candidate."""
+    return {f"s_{name}": v[:, 0] if v.ndim == 2 else v for name, v in s.__dict__.items()}
+
+
+def _states(rows: pd.DataFrame) -> FoldState:
+    column = lambda name, kind: rows[f"s_{name}"].to_numpy(dtype=kind)
+    matrix = lambda name, kind: column(name, kind)[:, None]
+    return FoldState(
+        state=matrix("state", np.int8),
+        since=matrix("since", float),
+        evidence=matrix("evidence", float),
+        wanted=matrix("wanted", np.int8),
+        wanted_since=matrix("wanted_since", float),
+        wanted_reports=matrix("wanted_reports", np.int64),
+        last_time=column("last_time", float),
+        evidence_time=column("evidence_time", float),
+    )
 
 
 def _watched(reports: DataFrame, at: str, lateness: str) -> DataFrame:
@@ -246,9 +323,10 @@ def _watched(reports: DataFrame, at: str, lateness: str) -> DataFrame:
     return checked_scores(reports).withWatermark(at, lateness).where(known)
 
 
-def _ordered(rows: DataFrame, spec: CandidateSpec, slice_seconds: float, lease_gap_s: float | None) -> DataFrame:
+def _ordered(rows: DataFrame, spec: CandidateSpec, slice_seconds: float, lease_gap_s: float | None, shards: int) -> DataFrame:
     ship_package(rows.sparkSession)
-    return rows.groupBy(C.SUBJECT).transformWithStateInPandas(
+    shard = F.pmod(F.xxhash64(C.SUBJECT), F.lit(shards)).cast("int")
+    return rows.withColumn(SHARD, shard).groupBy(SHARD).transformWithStateInPandas(
         statefulProcessor=OrderedController(spec, int(slice_seconds * 1000), lease_gap_s),
         outputStructType=DECISION_SCHEMA,
         outputMode="Append",
@@ -257,17 +335,18 @@ def _ordered(rows: DataFrame, spec: CandidateSpec, slice_seconds: float, lease_g
 
 
 def ordered_decisions(
-    reports: DataFrame, spec: CandidateSpec, slice_seconds: float, lateness: str, at: str = "at"
+    reports: DataFrame, spec: CandidateSpec, slice_seconds: float, lateness: str, at: str = "at", shards: int = SHARDS
 ) -> DataFrame:
     """Decisions for reports with entity, lease, decision time, score and event time ``at``, which may come
-    in any order within ``lateness`` and in triggers of any size.
+    in any order within ``lateness`` and in triggers of any size.  More ``shards`` make the part of a slice
+    smaller that a task holds at once.
 
     Undecided reports wait until the watermark passes their slice: run it with :func:`run_closed`.
     """
     nothing = F.lit(None).cast("double")
     named = (C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE, at)
     rows = _watched(reports, at, lateness).select(*named, F.unix_millis(at).alias(MILLIS))
-    return _ordered(rows.withColumns({FIRST: nothing, LAST: nothing}), spec, slice_seconds, None)
+    return _ordered(rows.withColumns({FIRST: nothing, LAST: nothing}), spec, slice_seconds, None, shards)
 
 
 def chained_decisions(
@@ -278,6 +357,7 @@ def chained_decisions(
     slice_seconds: float,
     lateness: str,
     at: str = "at",
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Reports (entity, score, ``at``) to epochs, leases and decisions under one watermark.
 
@@ -298,7 +378,7 @@ def chained_decisions(
         seconds("__first").alias(FIRST),
         seconds("__last").alias(LAST),
     )
-    return _ordered(rows.withColumn(MILLIS, F.unix_millis(at)), spec, slice_seconds, lease_gap_s)
+    return _ordered(rows.withColumn(MILLIS, F.unix_millis(at)), spec, slice_seconds, lease_gap_s, shards)
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append", **options: str) -> DataFrame:

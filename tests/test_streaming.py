@@ -167,3 +167,67 @@ def test_chain_of_epochs_leases_and_decisions(spark, tmp_path):
         assert [(r[C.LEASE], r[C.DECISION_TIME] - BASE) for r in mine] == [o[:2] for o in own]
         assert [(r["previous_state"], r["state"], r["lifecycle_start"]) for r in mine] == [(w[0], w[1], w[3]) for w in want]
     assert {r[C.LEASE] for r in got} == {"0:0", "1:0", "1:1"}
+
+
+class _Store:
+    """A state store in memory: three states that share no keys, and the timers."""
+
+    def __init__(self):
+        self.values, self.timers = {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getValue(self, key):  # noqa: N802
+        return self.values.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.values[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.values[key]
+
+    def exists(self):
+        return None in self.values
+
+    def get(self):
+        return self.values[None]
+
+    def update(self, value):
+        self.values[None] = value
+
+
+@pytest.mark.parametrize("gap", [None, 3.0])
+def test_a_slice_costs_one_timer_whatever_its_entities(gap):
+    rng = np.random.default_rng(10)
+    store = _Store()
+    controller = online.OrderedController(SPEC, 10_000, gap)
+    controller.init(store)
+    rows = [(int(s), f"L{t // 12}", float(t), float(np.round(rng.random(), 2))) for s in range(300) for t in range(25) if rng.random() < 0.7]
+    frame = pd.DataFrame([rows[i] for i in rng.permutation(len(rows))], columns=[C.SUBJECT, C.LEASE, C.DECISION_TIME, C.SCORE])
+    frame = frame.assign(at_ms=(frame[C.DECISION_TIME] * 1000).astype("int64"), first_s=frame[C.DECISION_TIME], last_s=frame[C.DECISION_TIME])
+    assert list(controller.handleInputRows((0,), iter([frame[:1000], frame[1000:]]), None)) == []
+    assert sorted(store.timers) == [10_000, 20_000, 30_000]
+
+    class Expired:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    got = pd.concat([out for at in sorted(store.timers) for out in controller.handleExpiredTimer((0,), None, Expired(at))])
+    assert len(got) == len(rows) and set(store.values) == {None}
+    for subject, mine in got.sort_values(C.DECISION_TIME).groupby(C.SUBJECT):
+        own, number, before = [], 0, None
+        for _, lease, t, x in sorted((r for r in rows if r[0] == subject), key=lambda r: r[2]):
+            number += gap is not None and before is not None and t - before > gap
+            before = t
+            own.append((lease if gap is None else f"{subject}:{number}", t, x))
+        want = walk_controller(SPEC.rule(), own)
+        assert mine[C.LEASE].tolist() == [o[0] for o in own]
+        shown = list(zip(mine["previous_state"], mine["state"], mine["lifecycle_start"]))
+        assert shown == [(w[0], w[1], w[3]) for w in want]
