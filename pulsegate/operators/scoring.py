@@ -24,11 +24,14 @@ from pulsegate.functions.scalars import logit, ratio, sigmoid
 from pulsegate.operators.boosting import Boosted, Growth, fit_boosted, score_boosted
 from pulsegate.operators.metrics import dwell_weights
 from pulsegate.schema import FORBIDDEN_FEATURE_PATTERN, FORBIDDEN_FEATURES, KPI_FEATURES
+from pulsegate.session import Scratch
 from pulsegate.sources.tables import read_json, write_json
 
 FORMAT_VERSION = 1
 WEIGHT = "__weight"
 TARGET = "__target"
+# Training rows per task of a tree ensemble.
+TREE_ROWS = 100_000
 
 
 class FeatureError(ValueError):
@@ -246,10 +249,21 @@ def _fit(
         return RiskModel(kind, prep, partition, tuple(map(float, fit.coefficients)), float(fit.intercept), seed)
     if kind != "gradient_boosted_trees":
         raise ValueError(f"unknown model kind: {kind}")
-    trees = GBTClassifier(maxDepth=max_depth, maxIter=max_iter, stepSize=learning_rate, seed=seed, **common).fit(training)
+    with Scratch(rows.sparkSession) as write:
+        held = write(_sized(weighted, prep, target))
+        names = [f"__f{i}" for i in range(len(prep.features))]
+        training = VectorAssembler(inputCols=names, outputCol="__features").transform(held).select("__features", TARGET, WEIGHT)
+        trees = GBTClassifier(maxDepth=max_depth, maxIter=max_iter, stepSize=learning_rate, seed=seed, **common).fit(training)
     return RiskModel(kind, prep, partition, seed=seed, trees=trees)
 
 
+def _sized(weighted: DataFrame, prep: Preprocessor, target: str) -> DataFrame:
+    """Narrow training rows in partitions of ``TREE_ROWS``: an ensemble runs some jobs per tree, each with a task per partition."""
+    columns = [c.alias(f"__f{i}") for i, c in enumerate(prep.columns())]
+    narrow = weighted.select(*columns, F.col(target).cast("double").alias(TARGET), WEIGHT)
+    return narrow.repartition(max(1, -(-prep.rows // TREE_ROWS)))
+
+
 def fit_platt(
     model: RiskModel, df: DataFrame, partition: str = "calibration", target: str = C.IS_ATTACK, **weights: Any
 ) -> RiskModel:

@@ -129,3 +129,22 @@ def test_held_out_and_saved(spark, tmp_path):
     assert right > 0.93  # a linear model stays near 0.5
     scoring.save_model(model, f"{tmp_path}/m.json")
     assert scoring.load_model(spark, f"{tmp_path}/m.json", ("a", "b", "c")).boosted == model.boosted
+
+
+def test_tree_ensembles_train_on_partitions_of_bounded_rows(spark, monkeypatch):
+    seen = []
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, training):
+        seen.append((training.rdd.getNumPartitions(), training.count()))
+        raise Fitted
+
+    monkeypatch.setattr(scoring.GBTClassifier, "fit", fit)
+    rows = spark.range(900).selectExpr("CAST(id % 7 AS double) AS a", "id % 2 = 0 AS is_attack_epoch").repartition(60)
+    for size, parts in ((1000, 1), (300, 3)):
+        monkeypatch.setattr(scoring, "TREE_ROWS", size)
+        with pytest.raises(Fitted):
+            scoring.fit_risk_model(rows, ["a"], "train", ["a"], "gradient_boosted_trees")
+        assert seen.pop() == (parts, 900)
