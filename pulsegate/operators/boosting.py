@@ -8,6 +8,7 @@
 * Gradients are summed as integers of ``SCALE`` parts, so that trees do not depend on partitions or task order.
 * All nodes down to the last level get their best split; the tree then takes splits by gain, largest first,
   until it has ``max_leaf_nodes`` leaves.  Leaf values are Newton steps.
+* Rows of equal bins, target and weight are one row with a count ``n``: their gradients are equal integers.
 * Rows are binned once into a scratch table and written anew with their raw score every ``KEEP`` trees, so a pass
   evaluates few trees and lineage stays short.
 
@@ -104,7 +105,7 @@ def bin_thresholds(df: DataFrame, columns: Sequence[Column], max_bins: int = MAX
 
 
 def binned(df: DataFrame, columns: Sequence[Column], model: Boosted, target: Column, weight: Column) -> DataFrame:
-    """``bins`` (one byte per feature), ``y``, ``w`` and ``raw``."""
+    """``bins`` (one byte per feature), ``y``, ``w``, ``raw`` and the number ``n`` of rows that share them."""
     ship_package(df.sparkSession)
     source = df.select(F.array(*[c.cast("double") for c in columns]).alias("x"), target.cast("double").alias("y"), weight.cast("double").alias("w"))
     width, names = len(columns), ["bins", "y", "w", "raw"]
@@ -115,7 +116,8 @@ def binned(df: DataFrame, columns: Sequence[Column], model: Boosted, target: Col
             bins = pa.array([row.tobytes() for row in model.bins(matrix)], pa.binary())
             yield pa.RecordBatch.from_arrays([bins, b.column(1), b.column(2), pa.array(np.full(len(matrix), model.baseline))], names=names)
 
-    return source.mapInArrow(run, "bins binary, y double, w double, raw double")
+    single = source.mapInArrow(run, "bins binary, y double, w double, raw double")
+    return single.groupBy("bins", "y", "w").agg(F.any_value("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -124,14 +126,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _advanced(rows: DataFrame, trees: Sequence[Tree], width: int) -> DataFrame:
     """``rows`` with the values of ``trees`` added to ``raw``."""
-    names = ["bins", "y", "w", "raw"]
+    names = ["bins", "y", "w", "raw", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins, raw = _matrix(b.column(0), width), b.column(3).to_numpy().copy()
             for tree in trees:
                 raw += leaf_values(tree, bins)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw), b.column(4)], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -150,15 +152,20 @@ def histogram(rows: DataFrame, trees: Sequence[Tree], grown: Tree, nodes: Sequen
             slots[node] = i
         for b in batches:
             bins, (y, w, raw) = _matrix(b.column(0), width), (b.column(i).to_numpy() for i in (1, 2, 3))
+            n = b.column(4).to_numpy()
             raw = raw + sum((leaf_values(t, bins) for t in trees), np.zeros(len(raw)))
             own = slots[node_of(grown, bins)]
             p = 1.0 / (1.0 + np.exp(-raw))
             inside = own >= 0
-            parts = [np.ones(inside.sum()), np.rint(w * (p - y) * SCALE)[inside], np.rint(w * p * (1.0 - p) * SCALE)[inside]]
+            # A count times a gradient passes 53 bits: sums are of integers.
+            each = [np.ones(len(n)), np.rint(w * (p - y) * SCALE), np.rint(w * p * (1.0 - p) * SCALE)]
+            parts = [(n * part.astype(np.int64))[inside] for part in each]
             for f in range(width):
                 cell = own[inside] * 256 + bins[inside, f]
                 for k, part in enumerate(parts):
-                    sums[k, :, f] += np.bincount(cell, part, len(nodes) * 256).reshape(len(nodes), 256).astype(np.int64)
+                    added = np.zeros(len(nodes) * 256, dtype=np.int64)
+                    np.add.at(added, cell, part)
+                    sums[k, :, f] += added.reshape(len(nodes), 256)
         i, f, c = np.nonzero(sums[0])
         columns = [np.array(nodes)[i].astype(np.int32), f.astype(np.int32), c.astype(np.int32), *(s[i, f, c] for s in sums)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)

@@ -131,6 +131,15 @@ def test_held_out_and_saved(spark, tmp_path):
     assert scoring.load_model(spark, f"{tmp_path}/m.json", ("a", "b", "c")).boosted == model.boosted
 
 
+def test_equal_rows_are_binned_to_one(spark):
+    rows = spark.range(60_000).selectExpr("CAST(id % 3 AS double) AS a", "CAST(id % 2 AS double) AS y", "1.0D AS w").repartition(7)
+    start = B.Boosted(((0.5, 1.5),), 0.0)
+    table = B.binned(rows, [F.col("a")], start, F.col("y"), F.col("w"))
+    assert [r["n"] for r in table.collect()] == [10_000] * 6
+    found = {r["bin"]: (r["n"], int(r["g"]), int(r["h"])) for r in B.histogram(table, (), ((-1, 0, 0, 0.0),), [0], 1).collect()}
+    assert found == {k: (20_000, 0, 20_000 * B.SCALE // 4) for k in range(3)}
+
+
 def test_tree_ensembles_train_on_partitions_of_bounded_rows(spark, monkeypatch):
     seen = []
 
