@@ -183,3 +183,10 @@ def training_order(mixed: DataFrame, partitions: int | None = None) -> DataFrame
     columns = [F.col(f"`{c}`") for c in mixed.columns if c != "readings"]
     spread = mixed.select(*columns, F.inline("readings"))
     return spread.repartitionByRange(n, "position", "doc_id", "pass").sortWithinPartitions("position", "doc_id", "pass")
+
+
+def position_order(rows: DataFrame, position: str) -> DataFrame:
+    """One row per document, range-sorted by its first position; documents that are never read come last."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(position).asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order)

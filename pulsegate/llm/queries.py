@@ -41,7 +41,8 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(sized, schedules)
     taken = F.aggregate("readings", F.lit(0).cast("long"), lambda s, r: s + r["words"])
     first = F.round(F.array_min(F.transform("readings", lambda r: r["position"])), 6)
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("first_position"))
+    rows = mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), first.alias("first_position"))
+    return mixing.position_order(rows, "first_position")
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

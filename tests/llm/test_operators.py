@@ -703,3 +703,9 @@ def test_token_counts(spark, tables, rows):
     want = sorted((str(r[0]), len(encoder.encode_ordinary(r[1])) if r[1] else 0) for r in rows)
     got = RUNS["op10_token_counts"](spark, tables).collect()
     assert sorted((str(r[0]), r["n_tokens"]) for r in got) == want
+
+
+def test_op1_rows_come_in_order_of_position(spark):
+    rows = RUNS["op1_source_mix"](spark, "/root/testdata/sf0.001").collect()
+    at = [(r["first_position"] is None, r["first_position"]) for r in rows]
+    assert len(rows) == 200 and at == sorted(at, key=lambda a: (a[0], a[1] or 0.0))
