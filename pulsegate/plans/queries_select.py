@@ -13,17 +13,13 @@ from pulsegate.functions.quantiles import exact_quantiles
 from pulsegate.functions.quantiles import weighted_median as exact_weighted_median
 from pulsegate.operators import calibration as cal
 from pulsegate.operators import selection as sel
-from pulsegate.operators.episodes import epoch_episodes, episode_summary, mark_streams
-from pulsegate.operators.epochs import annotate_labels, lease_epochs, sweep_leases
-from pulsegate.operators.metrics import BY_CANDIDATE, action_metrics
-from pulsegate.operators.reports import lease_timeout_table, overall_episodes, per_thousand, timeout_contrast
+from pulsegate.operators.metrics import BY_CANDIDATE
+from pulsegate.operators.reports import lease_timeout_table, per_thousand, timeout_contrast
 from pulsegate.plans import sql
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
 from pulsegate.plans.study import DELAY_CAP_S, EPOCH, LOCKED, RULE, Study
-from pulsegate.sources.events import EVENT_ONTOLOGY
 
-TIME = [C.DECISION_TIME]
 TUNE = "split = 'controller_tune'"
 # Budgets that fit the event scores: a raw 0.6 threshold contains about a fifth of benign time.
 BUDGETS = (0.05, 0.1, 0.2, 0.3)
@@ -422,15 +418,13 @@ TIMEOUTS = (43200.0, 86400.0, 129600.0, 259200.0)
 
 
 def sweep(s: Study) -> tuple[DataFrame, DataFrame]:
-    """Action metrics and episode summary of the locked policies at every timeout."""
-    base = lease_epochs(s.blocked, s.rule, [C.SCORE], (), EVENT_ONTOLOGY, (C.SPLIT,))
-    cut = annotate_labels(sweep_leases(base, TIMEOUTS), EVENT_ONTOLOGY)
-    marked = mark_streams(cut, EVENT_ONTOLOGY, F.col("lease_timeout_s"), TIME)
-    trace = s.trace(LOCKED, marked)
-    action = action_metrics(trace, [*BY_CANDIDATE, "lease_timeout_s"])
-    keys = (C.BLOCK, C.SUBJECT, C.LEASE, "lease_timeout_s")
-    episodes = epoch_episodes(trace, delay_cap_s=DELAY_CAP_S, keys=keys)
-    return action, overall_episodes(episode_summary(episodes, strata=False, extra=["lease_timeout_s"]))
+    """Action metrics and any-attack episodes of the locked policies at every timeout.
+
+    Both are one row per policy and timeout of the same table, which is kept as a join reads it several times.
+    """
+    swept = cal.timeout_metrics(s.epochs, LOCKED, TIMEOUTS, DELAY_CAP_S).persist()
+    episodes = ("episode_count", "episode_coverage", "mean_capped_delay_s", "median_capped_delay_s")
+    return swept.drop(*episodes), swept.where("episode_count > 0").select(*BY_CANDIDATE, "lease_timeout_s", *episodes)
 
 
 def _sweep_rule(timeout: float) -> TraceRule:
