@@ -53,21 +53,48 @@ def replay_checks(epochs: DataFrame) -> list[DataFrame]:
 
 
 def action_checks(trace: DataFrame, epochs: DataFrame, candidates: int) -> list[DataFrame]:
-    """Completeness, key uniqueness, state domain and the exact one-epoch lag."""
-    key = [C.CANDIDATE, *EPOCH_KEY]
-    w = lease_window(evaluation_order(trace), [C.CANDIDATE, *LEASE_KEYS])
+    """Completeness, key uniqueness, state domain and the exact one-epoch lag.
+
+    Actions and epochs are placed by lease together, once: the lag, the counts per candidate and
+    epoch and the counts per epoch all keep that place.  As in a join, an unknown key equals no other.
+    """
+    order = evaluation_order(trace)
+    rows = trace.select(C.CANDIDATE, *dict.fromkeys([*EPOCH_KEY, *order]), "decision_state", "effective_state", F.lit(False).alias("__own"))
+    own = epochs.select(*EPOCH_KEY, F.lit(True).alias("__own"))
+    placed = rows.unionByName(own, allowMissingColumns=True).repartition(*LEASE_KEYS)
+    w = lease_window(order, ["__own", C.CANDIDATE, *LEASE_KEYS])
     expected = F.coalesce(F.lag("decision_state").over(w), F.lit(0))
-    lag = trace.select((expected != F.col("effective_state")).alias("off"))
-    per_epoch = trace.groupBy(*EPOCH_KEY).agg(F.count(F.lit(1)).alias("n"))
-    paired = epochs.select(*EPOCH_KEY).join(per_epoch, list(EPOCH_KEY), "full")
-    short = F.count_if(~F.coalesce(F.col("n"), F.lit(0)).eqNullSafe(F.lit(candidates)))
-    domain = F.count_if(~F.col("effective_state").isin(0, 1, 2))
-    return [
-        _one("every candidate acts on every epoch", paired, short),
-        _one("candidate and epoch keys are unique", repeated_keys(trace, key), F.count(F.lit(1))),
-        _one("actions are ALLOW, RESTRICT or ISOLATE", trace, domain),
-        _one("effective action is the previous decision", lag, F.count_if("off")),
-    ]
+    marked = placed.withColumns(
+        {"__off": expected != F.col("effective_state"), "__odd": ~F.col("effective_state").isin(0, 1, 2)}
+    )
+    per_candidate = marked.groupBy("__own", C.CANDIDATE, *EPOCH_KEY).agg(
+        F.count(F.lit(1)).alias("copies"), F.count_if("__off").alias("off"), F.count_if("__odd").alias("odd")
+    )
+    per_epoch = per_candidate.groupBy(*EPOCH_KEY).agg(
+        F.sum(F.when(F.col("__own"), F.col("copies")).otherwise(0)).alias("epochs"),
+        F.sum(F.when(F.col("__own"), 0).otherwise(F.col("copies"))).alias("n"),
+        F.count_if(~F.col("__own") & (F.col("copies") > 1)).alias("repeated"),
+        F.sum("off").alias("off"),
+        F.sum("odd").alias("odd"),
+    )
+    unknown = F.lit(False)
+    for k in EPOCH_KEY:
+        unknown = unknown | F.col(k).isNull()
+    differs = F.col("n") != candidates
+    apart = F.when(F.lit(candidates != 0), F.col("epochs")).otherwise(0) + ((F.col("n") > 0) & differs).cast("long")
+    short = F.when(unknown, apart).when(differs, F.greatest("epochs", F.lit(1))).otherwise(0)
+    found = per_epoch.agg(
+        *[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in
+          {"short": short, "repeated": F.col("repeated"), "odd": F.col("odd"), "off": F.col("off")}.items()]
+    )
+    names = {
+        "short": "every candidate acts on every epoch",
+        "repeated": "candidate and epoch keys are unique",
+        "odd": "actions are ALLOW, RESTRICT or ISOLATE",
+        "off": "effective action is the previous decision",
+    }
+    listed = [F.struct(F.lit(name).alias("check"), F.col(k).alias("violations")) for k, name in names.items()]
+    return [found.select(F.inline(F.array(*listed)))]
 
 
 def recompute_checks(trace: DataFrame, saved: DataFrame, by: Sequence[str] = (C.CANDIDATE, C.FAMILY)) -> list[DataFrame]:

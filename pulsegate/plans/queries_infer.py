@@ -553,11 +553,13 @@ def timing_summary(s: Study):
     ),
 )
 def integrity_checks(s: Study):
-    trace = s.trace(LOCKED, replay_inputs(s.epochs))
+    # Every check reads these narrow rows; they stay placed by entity.
+    epochs = s.epochs.select(C.BLOCK, C.SUBJECT, C.LEASE, C.DECISION_TIME, C.DURATION, C.SCORE, C.SPLIT).persist()
+    trace = s.trace(LOCKED, replay_inputs(epochs))
     checks = [
-        *integrity.score_checks(s.epochs),
-        *integrity.replay_checks(s.epochs),
-        *integrity.action_checks(trace, s.epochs, len(LOCKED)),
+        *integrity.score_checks(epochs),
+        *integrity.replay_checks(epochs),
+        *integrity.action_checks(trace, epochs, len(LOCKED)),
     ]
     return integrity.check_table(checks)
 
