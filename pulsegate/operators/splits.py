@@ -79,13 +79,15 @@ def unseen_entities(df: DataFrame, splits: SplitRule, subject: str = C.SUBJECT)
     return evaluation_entities(df, splits, subject).join(reference_entities(df, splits, subject), subject, "left_anti")
 
 
-def annotate_novelty(df: DataFrame, splits: SplitRule, subject: str = C.SUBJECT) -> DataFrame:
-    """Flag evaluation rows whose entity also occurs in a reference split.
+def annotate_novelty(
+    df: DataFrame, splits: SplitRule, subject: str = C.SUBJECT, reference: DataFrame | None = None
+) -> DataFrame:
+    """Flag evaluation rows whose entity also occurs in a reference split of ``reference`` (``df`` itself).
 
     The join side is one row per entity; the rows of one heavy entity are a skewed join
     partition, which AQE splits.
     """
-    known = reference_entities(df, splits, subject).withColumn("__known", F.lit(True))
+    known = reference_entities(df if reference is None else reference, splits, subject).withColumn("__known", F.lit(True))
     joined = df.join(known, subject, "left")
     seen = F.coalesce("__known", F.lit(False))
     evaluated = F.col(C.SPLIT) == splits.evaluation

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from pulsegate import columns as C
 from pulsegate.operators import contributions as contrib
 from pulsegate.operators import resampling as boot
-from pulsegate.operators.controllers import explode_candidates
+from pulsegate.operators.controllers import explode_candidates, replay_arrays
 from pulsegate.operators.episodes import epoch_episodes, mark_streams, point_summary
 from pulsegate.operators.epochs import annotate_labels, lease_epochs
 from pulsegate.operators.metrics import mobility_stratum, stratified_metrics
 from pulsegate.operators.splits import annotate_novelty
 from pulsegate.plans import sql
 from pulsegate.plans.queries_infer import _IV_VIEW, REPLICATES, _interval_view, boot_ctes, draws_for, universe
-from pulsegate.plans.queries_replay import _ATTACK_BLOCKS, _SUMS, LABELS, TIME, attack_contributions
+from pulsegate.plans.queries_replay import _ATTACK_BLOCKS, _SUMS, TIME, attack_contributions
 from pulsegate.plans.registry import query
 from pulsegate.plans.sql import r6, with_recursive
 from pulsegate.plans.study import DAILY, DELAY_CAP_S, EPOCH, LOCKED, PROPOSED, REFERENCE, SPLITS, Study
@@ -126,13 +126,17 @@ def _novelty_sql(novelty: str) -> str:
 @query("inference_novelty", " UNION ALL ".join(map(_novelty_sql, ("seen", "unseen"))), rule=DAILY)
 def inference_novelty(s: Study):
     """Primary contrasts of the held-out split on entities seen before and on new ones."""
-    rows = annotate_novelty(s.replayed, SPLITS).where(F.col(C.SPLIT) == SPLITS.evaluation).persist()
+    # A lease lies in one block and a block in one split: the held-out epochs are replayed alone, with the two policies compared.
+    compared = [x for x in LOCKED if x.candidate in (PROPOSED, REFERENCE)]
+    heldout = replay_arrays(s.mark(s.split(SPLITS.evaluation)), compared, order=TIME)
+    rows = annotate_novelty(heldout, SPLITS, reference=s.blocked).persist()
     blocks = boot.block_universe(rows)
 
     def contrasts(novelty: str) -> DataFrame:
         own = rows.where(F.col(C.NOVELTY) == novelty)
-        trace = explode_candidates(own, LOCKED)
-        attack = contrib.attack_contributions(trace, epoch_episodes(trace, delay_cap_s=DELAY_CAP_S), LABELS, EVENT_ONTOLOGY)
+        trace = explode_candidates(own, compared)
+        labels = [(x.candidate, x.family) for x in compared]
+        attack = contrib.attack_contributions(trace, epoch_episodes(trace, delay_cap_s=DELAY_CAP_S), labels, EVENT_ONTOLOGY)
         counts = own.agg(F.count_distinct(C.SUBJECT).alias("entities"), F.count(F.lit(1)).alias("epochs"))
         intervals = additive_intervals(s, contrib.action_contributions(trace), attack, blocks)
         # One row of counts, looked up as scalars: no join.

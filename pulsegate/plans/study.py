@@ -109,9 +109,12 @@ class Study:
 
     @cached_property
     def marked(self) -> DataFrame:
+        return self.mark(self.epochs)
+
+    def mark(self, epochs: DataFrame) -> DataFrame:
         """Epochs with label-derived run, stream and neighbour marks."""
         order = [C.DECISION_TIME]
-        islands = mark_report_islands(with_previous_attack(self.epochs, order=order), order)
+        islands = mark_report_islands(with_previous_attack(epochs, order=order), order)
         return mark_streams(islands, EVENT_ONTOLOGY, 0.0, order)
 
     @cached_property
