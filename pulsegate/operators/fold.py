@@ -100,9 +100,13 @@ def advance(rules: RuleMatrix, s: FoldState, t: np.ndarray, x: np.ndarray) -> np
     finite = np.isfinite(x)
     now, score = t[:, None], np.where(finite, x, np.nan)[:, None]
 
-    smooth = ~np.isnan(rules.tau) & ~np.isnan(s.evidence_time)[:, None]
-    gain = -np.expm1(-(now - s.evidence_time[:, None]) / rules.tau)
-    fresh = np.where(smooth, s.evidence + gain * (score - s.evidence), score)
+    fresh = np.broadcast_to(score, s.evidence.shape)
+    # Only controllers with a time constant smooth; the exponential is the dearest step.
+    smooth = np.flatnonzero(~np.isnan(rules.tau[0]))
+    if len(smooth):
+        fresh, held, seen = fresh.copy(), s.evidence[:, smooth], ~np.isnan(s.evidence_time)[:, None]
+        gain = -np.expm1(-(now - s.evidence_time[:, None]) / rules.tau[:, smooth])
+        fresh[:, smooth] = np.where(seen, held + gain * (score - held), score)
     s.evidence = np.where(finite[:, None], fresh, s.evidence)
     s.evidence_time = np.where(finite, t, s.evidence_time)
     shown = np.where(finite[:, None], fresh, np.nan)
