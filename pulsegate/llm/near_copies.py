@@ -1,15 +1,17 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
-Equal texts are one text first.  Candidates share a band of MinHashes: with ``BANDS`` bands of ``ROWS`` hashes
-a pair at 0.8 shares none with a chance of (1 - 0.8 ** 5) ** 20 = 4e-4, a closer one more rarely.  Every link
-is verified on whole shingle sets.  Groups are the connected components of the links.
+Equal texts are one text first.  Candidates come from SimHash: fingerprints of the shingle sets within ``RADIUS``
+bits share one of the covering masks of ``simhash``, so no such pair is missed.  A pair at 0.8 differs in some ten
+bits of 64, so candidates also share a band of MinHashes: with ``BANDS`` bands of ``ROWS`` hashes a pair at 0.8
+shares none with a chance of (1 - 0.8 ** 5) ** 20 = 4e-4, a closer one more rarely.  Every link is verified on
+whole shingle sets.  Groups are the connected components of the links.
 
 There are two rounds, whatever the buckets hold.  First, every member of a bucket meets its hub: the
 member whose buckets are largest in sum, as an original shares more bands with its copies than they share
 with each other.  Second, only buckets left with several groups are solved, ``BLOCK`` members against ``BLOCK`` members in
 a task: a union-find passes over pairs of different groups, those nearest to the bucket's common
-signature first, and verifies pairs whose signatures agree in ``LIKELY`` of the hashes (a pair at 0.8 does
-not with a chance of 2e-4).  A task gives at most one link per member; no list of pairs is made.
+signature first, and verifies pairs whose fingerprints are within ``RADIUS`` bits or whose signatures agree in
+``LIKELY`` of the hashes (a pair at 0.8 does not with a chance of 2e-4).  A task gives at most one link per member; no list of pairs is made.
 
 Edge cases.  Texts of fewer words than a shingle are one shingle; NULL, empty and wordless texts are
 alike.  NULL doc_ids come last in the choice of the document that stays.  Repeated rows are one document.  Columns
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pulsegate.llm.common import annotate, raw, sized_broadcast
 from pulsegate.llm.components import components
-from pulsegate.llm.simhash import _row_key
+from pulsegate.llm.simhash import RADIUS, _row_key, majority, masks
 from pulsegate.session import Scratch, durable
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -41,6 +43,9 @@ _CHUNK = 1 << 11
 _DRAWN = np.random.default_rng(_SEED).integers(0, 1 << 64, size=(3, BANDS * ROWS), dtype=np.uint64)
 _FLIPS, _FACTORS, _MIXERS = _DRAWN[0][:, None], (_DRAWN[1] | np.uint64(1))[:, None], _DRAWN[2].reshape(BANDS, ROWS) | np.uint64(1)
 
+_MASKS = np.array(masks(), dtype=np.int64).view(np.uint64)
+_SALTS, _SPREAD = np.random.default_rng(_SEED + 1).integers(0, 1 << 64, size=(2, len(_MASKS)), dtype=np.uint64)
+
 
 def shingles(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the shingles of lower-cased words; one shingle at least."""
@@ -70,6 +75,17 @@ def bands(least: np.ndarray) -> list[int]:
     return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist()
 
 
+def print_of(values: np.ndarray) -> np.uint64:
+    """SimHash of a set."""
+    return np.uint64(majority(values.astype(">u8")))
+
+
+def covers(fingerprint: np.uint64) -> list[int]:
+    """One key per covering mask; fingerprints within ``RADIUS`` bits share one, keys of different masks differ."""
+    mixed = ((fingerprint & _MASKS) ^ _SALTS) * (_SPREAD | np.uint64(1))
+    return (mixed ^ (mixed >> np.uint64(29))).view(np.int64).tolist()
+
+
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets are similar enough."""
     if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
@@ -83,12 +99,13 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def block_links(members: list[dict], cross: bool, similarity: float) -> list[tuple[int, int]]:
     """Verified links that join all similar members ``id, root, part, signature, shingles`` of different roots.
 
-    With ``cross`` only members of different ``part`` are compared.
+    With ``cross`` only members of different ``part`` are compared.  A fingerprint may follow the MinHashes of a signature.
     """
     signs = np.array([np.frombuffer(m["signature"], np.uint16) for m in members])
+    signs, prints = np.hsplit(signs, [BANDS * ROWS])
     common = np.array([v[np.argmax(n)] for v, n in (np.unique(c, return_counts=True) for c in signs.T)])
     order = np.argsort(-(signs == common).sum(axis=1), kind="stable")
-    members, signs = [members[i] for i in order], signs[order]
+    members, signs, prints = [members[i] for i in order], signs[order], prints[order]
     part = np.array([m["part"] for m in members])
     names = {r: i for i, r in enumerate(dict.fromkeys(m["root"] for m in members))}
     # group[i] is kept flat: joining two groups relabels the members of one.
@@ -103,6 +120,8 @@ def block_links(members: list[dict], cross: bool, similarity: float) -> list[tup
     found = []
     for i in range(len(members) - 1):
         near = (signs[i + 1 :] == signs[i]).sum(axis=1) >= LIKELY * signs.shape[1]
+        if prints.shape[1]:
+            near |= np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1) <= RADIUS
         near &= group[i + 1 :] != group[i]
         if cross:
             near &= part[i + 1 :] != part[i]
@@ -190,9 +209,9 @@ def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
 
     def run(texts: list[bytes]):
         own = [shingles(t) for t in texts]
-        signs = [signature(v) for v in own]
-        tops = [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in signs]
-        return [bands(s) for s in signs], tops, [len(v) for v in own]
+        signs, prints = [signature(v) for v in own], [print_of(v) for v in own]
+        tops = [(s >> np.uint64(48)).astype(np.uint16).tobytes() + p.tobytes() for s, p in zip(signs, prints)]
+        return [bands(s) + covers(p) for s, p in zip(signs, prints)], tops, [len(v) for v in own]
 
     with Scratch(docs.sparkSession) as write:
         rows = write(annotate(named, ["doc_id", "sha", "id"], [raw()], run, "keys array<bigint>, signature binary, n_own bigint"))

@@ -46,8 +46,12 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
         return hashed(joined, SEED)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[: n - 1])]
-    values = np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])), ">u8", n)
-    ones = np.zeros(BITS, dtype=np.int64)
+    return majority(np.fromiter((hashed(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])), ">u8", n))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes (big-endian)."""
+    n, ones = len(values), np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, _BLOCK):
         block = values[at : at + _BLOCK]
         ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -88,3 +88,41 @@ def test_clashing_names_and_repeated_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(False, 4, "a b c d e f"), (False, 9, ""), (True, 0, "q r s t u v")]
     assert not [f for f in os.listdir(checkpoint_dir(spark).removeprefix("file:")) if f.startswith("scratch-")]
+
+
+# Five-word similarity 0.8, fingerprints 2 and 3 bits apart, no band of MinHashes in common.
+MISSED_BY_BANDS = [
+    ("w852 w180 w779 w718 w699 w395 w435 w382 w538 w145 w819 w69", "w916", "w524"),
+    ("w663 w82 w994 w470 w480 w968 w399 w486 w97 w992 w270 w594", "w738", "w908"),
+]
+
+
+def test_covering_masks_find_what_bands_miss(spark):
+    rows = []
+    for i, (base, *last) in enumerate(MISSED_BY_BANDS):
+        x, y = (N.shingles(f"{base} {w}".encode()) for w in last)
+        assert N.similar(x, y, 0.8) and not set(N.bands(N.signature(x))) & set(N.bands(N.signature(y)))
+        rows += [(10 * i + k, f"{base} {w}") for k, w in enumerate(last)]
+    kept = N.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10]
+
+
+def test_prints_within_the_radius_share_a_cover():
+    rng = random.Random(6)
+    for _ in range(200):
+        value = rng.getrandbits(64)
+        other = value
+        for bit in rng.sample(range(64), rng.randint(0, N.RADIUS)):
+            other ^= 1 << bit
+        keys = N.covers(np.uint64(value))
+        assert len(set(keys)) == len(keys) == 15
+        assert set(keys) & set(N.covers(np.uint64(other)))
+
+
+def test_close_prints_are_compared_whatever_their_signatures():
+    base, *last = MISSED_BY_BANDS[0]
+    listed = [member(i, f"{base} {w}") for i, w in enumerate(last)]
+    prints = [N.print_of(N.shingles(f"{base} {w}".encode())) for w in last]
+    for m, p, other in zip(listed, prints, (0, 7)):
+        m["signature"] = bytes([other]) * len(m["signature"]) + p.tobytes()
+    assert N.block_links(listed, False, 0.8) == [(0, 1)]
