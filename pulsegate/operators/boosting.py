@@ -3,14 +3,14 @@
 * Bins: a feature of at most ``max_bins`` distinct values is cut half-way between neighbours, another one at its
   ``max_bins`` quantiles (mean of the two values around each position).  Both come from value counts with exact
   running totals, so no task holds a feature.
-* A level of a tree is one pass: tasks add up count, gradient and hessian per (node, feature, bin) in numpy and one
-  grouped sum ends it.  The driver sees nodes x features x bins sums, a number that parameters bound.
+* A level of a tree is one pass: tasks add up count, gradient and hessian per (node, feature, bin) in numpy, and their
+  sums are added.  The driver sees nodes x features x bins sums, a number that parameters bound, of a few tasks.
 * Gradients are summed as integers of ``SCALE`` parts, so that trees do not depend on partitions or task order.
 * All nodes down to the last level get their best split; the tree then takes splits by gain, largest first,
   until it has ``max_leaf_nodes`` leaves.  Leaf values are Newton steps.
 * Rows of equal bins, target and weight are one row with a count ``n``: their gradients are equal integers.
-* Rows are binned once into a scratch table and written anew with their raw score every ``KEEP`` trees, so a pass
-  evaluates few trees and lineage stays short.
+* Rows are binned once into a scratch table of packed blocks and written anew with their raw score every ``KEEP``
+  trees, so few trees are evaluated and lineage stays short.  The gradients of a tree are kept for its levels.
 
 Ties go to the first feature, then to the lowest bin, then to the node found first.
 """
@@ -20,9 +20,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,9 @@ MAX_BINS = 255
 MIN_HESSIAN = 1e-3
 SCALE = 1 << 32
 KEEP = 10
+# Rows of a packed block, and the number of tasks whose sums the driver adds up alone.
+BLOCK_ROWS = 1 << 16
+DIRECT_TASKS = 64
 
 # feature < 0: a leaf of ``value``; else rows of bin <= ``cut`` go to ``left``, the others to ``left + 1``.
 Node = tuple[int, int, int, float]
@@ -60,21 +65,49 @@ class Boosted:
         return np.stack([np.searchsorted(np.array(t), matrix[:, i], side="left") for i, t in enumerate(self.thresholds)], axis=1).astype(np.uint8)
 
 
+# Lowest set bit of a byte.
+LOWEST = np.array([0] + [(i & -i).bit_length() - 1 for i in range(1, 256)])
+
+
+@lru_cache(maxsize=1024)
+def _routes(tree: Tree) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """Per feature the leaves (a bit each, from the left) that a bin leaves open; node and value of the leaf by open leaves.
+
+    A row falls into the leftmost leaf that is open to all its bins.  Trees of three levels have eight leaves at most.
+    """
+    cells: dict[int, np.ndarray] = {}
+    leaves: list[int] = []
+
+    def walk(node: int) -> int:
+        feature, cut, left, _ = tree[node]
+        if feature < 0:
+            leaves.append(node)
+            return 1 << len(leaves) - 1
+        below = walk(left)
+        cells.setdefault(feature, np.full(256, 255, dtype=np.uint8))[cut + 1 :] &= np.uint8(255 ^ below)
+        return below | walk(left + 1)
+
+    walk(0)
+    nodes = np.array(leaves + [0] * (8 - len(leaves)))[LOWEST]
+    return cells, nodes, np.array([n[3] for n in tree])[nodes]
+
+
+def _open_leaves(cells: dict[int, np.ndarray], bins: np.ndarray) -> np.ndarray:
+    out = np.full(len(bins), 255, dtype=np.uint8)
+    for feature, by_bin in cells.items():
+        out &= by_bin[bins[:, feature]]
+    return out
+
+
 def node_of(tree: Tree, bins: np.ndarray) -> np.ndarray:
     """Index of the leaf each row falls into."""
-    at = np.zeros(len(bins), dtype=np.int64)
-    feature, cut, left = (np.array([n[i] for n in tree]) for i in range(3))
-    rows = np.arange(len(bins))
-    while True:
-        inner = feature[at] >= 0
-        if not inner.any():
-            return at
-        below = bins[rows, np.maximum(feature[at], 0)] <= cut[at]
-        at = np.where(inner, left[at] + ~below, at)
+    cells, nodes, _ = _routes(tree)
+    return nodes[_open_leaves(cells, bins)]
 
 
 def leaf_values(tree: Tree, bins: np.ndarray) -> np.ndarray:
-    return np.array([n[3] for n in tree])[node_of(tree, bins)]
+    cells, _, values = _routes(tree)
+    return values[_open_leaves(cells, bins)]
 
 
 def bin_thresholds(df: DataFrame, columns: Sequence[Column], max_bins: int = MAX_BINS) -> tuple[tuple[float, ...], ...]:
@@ -124,56 +157,124 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _advanced(rows: DataFrame, trees: Sequence[Tree], width: int) -> DataFrame:
-    """``rows`` with the values of ``trees`` added to ``raw``."""
-    names = ["bins", "y", "w", "raw", "n"]
+def packed(rows: DataFrame) -> DataFrame:
+    """The columns of :func:`binned` as byte strings, one row per block of at most ``BLOCK_ROWS`` rows."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            bins = b"".join(x for b in held for x in b.column(0).to_pylist())
+            others = [np.concatenate([b.column(i).to_numpy() for b in held]).tobytes() for i in range(1, len(names))]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (bins, *others)], names=names)
+
+        held, size = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                b = whole.slice(start, BLOCK_ROWS)
+                if size + b.num_rows > BLOCK_ROWS:
+                    yield block(held)
+                    held, size = [], 0
+                held.append(b)
+                size += b.num_rows
+        if held:
+            yield block(held)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} binary" for c in names))
+
+
+def _advanced(blocks: DataFrame, trees: Sequence[Tree], width: int) -> DataFrame:
+    """``blocks`` with the values of ``trees`` added to ``raw``."""
+    names = blocks.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, raw = _matrix(b.column(0), width), b.column(3).to_numpy().copy()
-            for tree in trees:
-                raw += leaf_values(tree, bins)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raw), b.column(4)], names=names)
+            raws = [_raw(bins, raw, trees, width).tobytes() for bins, raw in zip(b.column(0).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(raws, pa.binary()), b.column(4)], names=names)
+
+    return blocks.mapInArrow(run, blocks.schema)
+
+
+def _raw(bins: bytes, raw: bytes, trees: Sequence[Tree], width: int) -> np.ndarray:
+    matrix, out = np.frombuffer(bins, dtype=np.uint8).reshape(-1, width), np.frombuffer(raw).copy()
+    for tree in trees:
+        out += leaf_values(tree, matrix)
+    return out
+
 
-    return rows.mapInArrow(run, rows.schema)
+def _parts(y: np.ndarray, w: np.ndarray, raw: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Count, gradient and hessian of counted rows, the latter two in parts of ``SCALE``."""
+    p = 1.0 / (1.0 + np.exp(-raw))
+    # A count times a gradient passes 53 bits: sums are of integers.
+    return n, *(n * np.rint(x * SCALE).astype(np.int64) for x in (w * (p - y), w * p * (1.0 - p)))
+
+
+class _Cells:
+    """Sums of one task by count, gradient or hessian, feature, node and bin."""
+
+    def __init__(self, grown: Tree, nodes: Sequence[int], width: int):
+        self.grown, self.slots, self.sums = grown, np.full(len(grown), -1), np.zeros((3, width, len(nodes), 256), dtype=np.int64)
+        self.slots[list(nodes)] = np.arange(len(nodes))
+
+    def add(self, bins: np.ndarray, parts: Sequence[np.ndarray]) -> None:
+        own = self.slots[node_of(self.grown, bins)]
+        inside = own >= 0
+        if not inside.all():
+            own, bins, parts = own[inside], bins[inside], [x[inside] for x in parts]
+        for f in range(bins.shape[1]):
+            cell = own * 256 + bins[:, f]
+            for k, part in enumerate(parts):
+                np.add.at(self.sums[k, f].reshape(-1), cell, part)
 
 
 def histogram(rows: DataFrame, trees: Sequence[Tree], grown: Tree, nodes: Sequence[int], width: int) -> DataFrame:
     """``node, feature, bin, n, g, h`` of the ``nodes`` of the tree ``grown``; gradients after ``trees``, in parts of ``SCALE``."""
     ship_package(rows.sparkSession)
-    slot = {node: i for i, node in enumerate(nodes)}
     schema = "node int, feature int, bin int, n bigint, g bigint, h bigint"
     names = ["node", "feature", "bin", "n", "g", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, len(nodes), width, 256), dtype=np.int64)
-        slots = np.full(len(grown), -1)
-        for node, i in slot.items():
-            slots[node] = i
+        cells = _Cells(grown, nodes, width)
         for b in batches:
-            bins, (y, w, raw) = _matrix(b.column(0), width), (b.column(i).to_numpy() for i in (1, 2, 3))
-            n = b.column(4).to_numpy()
+            bins, (y, w, raw, n) = _matrix(b.column(0), width), (b.column(i).to_numpy() for i in (1, 2, 3, 4))
             raw = raw + sum((leaf_values(t, bins) for t in trees), np.zeros(len(raw)))
-            own = slots[node_of(grown, bins)]
-            p = 1.0 / (1.0 + np.exp(-raw))
-            inside = own >= 0
-            # A count times a gradient passes 53 bits: sums are of integers.
-            each = [np.ones(len(n)), np.rint(w * (p - y) * SCALE), np.rint(w * p * (1.0 - p) * SCALE)]
-            parts = [(n * part.astype(np.int64))[inside] for part in each]
-            for f in range(width):
-                cell = own[inside] * 256 + bins[inside, f]
-                for k, part in enumerate(parts):
-                    added = np.zeros(len(nodes) * 256, dtype=np.int64)
-                    np.add.at(added, cell, part)
-                    sums[k, :, f] += added.reshape(len(nodes), 256)
-        i, f, c = np.nonzero(sums[0])
-        columns = [np.array(nodes)[i].astype(np.int32), f.astype(np.int32), c.astype(np.int32), *(s[i, f, c] for s in sums)]
+            cells.add(bins, _parts(y, w, raw, n))
+        f, i, c = np.nonzero(cells.sums[0])
+        columns = [np.array(nodes)[i].astype(np.int32), f.astype(np.int32), c.astype(np.int32), *(s[f, i, c] for s in cells.sums)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     partial = rows.mapInArrow(run, schema)
     return partial.groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(25,0)")).alias(c) for c in ("g", "h")])
 
 
+def gradients(blocks: DataFrame, trees: Sequence[Tree], width: int) -> RDD:
+    """``bins`` and :func:`_parts` of each block after ``trees``."""
+    ship_package(blocks.sparkSession)
+
+    def run(block) -> tuple:
+        raw = _raw(block["bins"], block["raw"], trees, width)
+        y, w, n = np.frombuffer(block["y"]), np.frombuffer(block["w"]), np.frombuffer(block["n"], dtype=np.int64)
+        return np.frombuffer(block["bins"], dtype=np.uint8).reshape(-1, width), _parts(y, w, raw, n)
+
+    return blocks.rdd.map(run)
+
+
+def level_sums(blocks: RDD, grown: Tree, nodes: Sequence[int], width: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """What :func:`histogram` finds, from :func:`gradients`: count, gradient and hessian by node, each by feature and bin."""
+
+    def run(own: Iterator[tuple]) -> Iterator[np.ndarray]:
+        cells = _Cells(grown, nodes, width)
+        for bins, parts in own:
+            cells.add(bins, parts)
+        # Sums of many tasks pass 63 bits: whole numbers and parts of SCALE are added apart.
+        whole, part = cells.sums.copy(), np.zeros_like(cells.sums)
+        whole[1:], part[1:] = np.divmod(cells.sums[1:], SCALE)
+        yield np.stack([whole, part])
+
+    whole, part = blocks.mapPartitions(run).treeReduce(np.add, 1 if blocks.getNumPartitions() <= DIRECT_TASKS else 2)
+    sums = whole + part / SCALE
+    return {node: tuple(x[:, i] for x in sums) for i, node in enumerate(nodes)}
+
+
 @dataclass(frozen=True)
 class Growth:
     """Shape limits and regularisation of the trees."""
@@ -230,8 +331,17 @@ def _collected(hist: DataFrame, nodes: Sequence[int], width: int) -> dict[int, t
     return out
 
 
-def grow(rows: DataFrame, trees: Sequence[Tree], growth: Growth, width: int) -> Tree:
+def grow(blocks: DataFrame, trees: Sequence[Tree], growth: Growth, width: int) -> Tree:
     """The next tree after ``trees``."""
+    # Its levels read the same gradients.
+    held = gradients(blocks, tuple(trees), width).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _grown(held, growth, width)
+    finally:
+        held.unpersist()
+
+
+def _grown(held: RDD, growth: Growth, width: int) -> Tree:
     full: list[Node] = [(-1, 0, 0, 0.0)]
     best: dict[int, tuple[float, int, int]] = {}
     sums: dict[int, tuple[float, float]] = {}
@@ -239,7 +349,7 @@ def grow(rows: DataFrame, trees: Sequence[Tree], growth: Growth, width: int) ->
     for depth in range(growth.max_depth + 1):
         last = depth == growth.max_depth
         if not last:
-            found = _collected(histogram(rows, trees, tuple(full), level, width), level, width)
+            found = level_sums(held, tuple(full), level, width)
         following = []
         for node in level:
             if last:
@@ -292,13 +402,13 @@ def fit_boosted(
     width, trees, pending = len(columns), [], []
     held = Scratch(df.sparkSession)
     try:
-        rows = held(binned(df, columns, model, y, w))
+        blocks = held(packed(binned(df, columns, model, y, w)))
         for _ in range(growth.max_iter):
-            pending.append(grow(rows, pending, growth, width))
+            pending.append(grow(blocks, pending, growth, width))
             trees.append(pending[-1])
-            if len(pending) == KEEP:
+            if len(pending) == KEEP and len(trees) < growth.max_iter:
                 following = Scratch(df.sparkSession)
-                rows = following(_advanced(rows, pending, width))
+                blocks = following(_advanced(blocks, pending, width))
                 held.close()
                 held, pending = following, []
     finally:

@@ -180,8 +180,8 @@ def _log_odds(rows) -> float:
 
 @query("boosted_score")
 def boosted_score(s: Study):
-    """Histogram-boosted sensitivity model of 20 rounds, calibrated and scored per split."""
-    model, df = _fitted(s, "hist_gradient_boosting", balance_classes=True, max_iter=20)
+    """Histogram-boosted sensitivity model of all 150 rounds, calibrated and scored per split."""
+    model, df = _fitted(s, "hist_gradient_boosting", balance_classes=True)
     scored = scoring.score_frame(model, df, [C.SPLIT])
     return scored.groupBy(C.SPLIT).agg(F.count(F.lit(1)).alias("epochs"), F.avg(C.SCORE).alias("mean_score"))
 
